@@ -304,8 +304,8 @@ def merged(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 200, head: int = 150) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary, removed array of [start, end))."""
-    base = identified(docs, id_col, text_col).select("uid", "doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))
-    found = spans(base.select("uid", "body"), least, head)
+    base, ids = identified(docs, id_col, text_col)
+    found = spans(base, least, head)
     found = found.groupBy("uid").agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
 
     def take_out(batches):
@@ -322,8 +322,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 for k, v in zip(out, (len(body), len(body) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept, [{"start": s, "end": e} for s, e in gone])):
                     out[k].append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), kinds))], ["doc_id", *out])
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), *(pa.array(v, t) for v, t in zip(out.values(), kinds))], ["uid", *out])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start: long, end: long>>"
-    return base.select("uid", "body", "doc_id").join(found, "uid", "left").select("doc_id", "body", "cuts").mapInArrow(take_out, schema)
+    schema = "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start: long, end: long>>"
+    out = base.join(found, "uid", "left").select("uid", "body", "cuts").mapInArrow(take_out, schema)
+    if ids is not None:
+        return out.join(ids, "uid").select("doc_id", *out.columns[1:])
+    return out.select(F.col("uid").cast(docs.schema[id_col].dataType).alias("doc_id"), *out.columns[1:])
