@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import binary_parts, identified, width
+from tabloom.llm.common import binary_parts, cut, identified, width
 
 K = 8
 #: Texts whose suffixes give the splitters.
@@ -176,7 +176,7 @@ def spans(docs: DataFrame, least: int, head: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(uid[doc].astype(np.int64)), pa.array((at - offsets[doc]).astype(np.int32))], ["lead", "uid", "at"])
 
     found = docs.mapInArrow(find, "lead long, uid long, at int")
-    seen = found.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("hot", F.col("n") > HOT).drop("n")
+    seen = cut(found.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("hot", F.col("n") > HOT).drop("n"))
     places = found.join(seen, "lead").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", "hot"))).alias("places"))
 
     def sample_leads(batches):
