@@ -13,17 +13,29 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.suffixes import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_simhash, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op4_simhash, op6_language, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}
