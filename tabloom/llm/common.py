@@ -82,3 +82,14 @@ def binary_parts(array) -> tuple[np.ndarray, np.ndarray]:
         at = np.zeros(1, np.int64)
     buf = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
     return buf, at - at[0]
+
+
+def sliced(batches, column: int | str, most: int = 4 << 20):
+    """The same rows in batches of at most `most` bytes of one column, or of a single row; so a task's memory stays level."""
+    for batch in batches:
+        _, at = binary_parts(batch.column(column))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import binary_parts, cut, identified, width
+from tabloom.llm.common import binary_parts, cut, identified, sliced, width
 
 K = 8
 #: Texts whose suffixes give the splitters.
@@ -168,7 +168,7 @@ def spans(docs: DataFrame, least: int, head: int) -> DataFrame:
     parts = width(docs)
 
     def find(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             buf, offsets = binary_parts(batch.column(1))
             doc, at = anchors(buf, offsets, least, head)
             lead = lead_hash(buf, at, tail) if len(at) else np.zeros(0, np.int64)
@@ -180,7 +180,7 @@ def spans(docs: DataFrame, least: int, head: int) -> DataFrame:
     places = found.join(seen, "lead").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", "hot"))).alias("places"))
 
     def sample_leads(batches):
-        for batch in batches:
+        for batch in sliced(batches, 0):
             buf, offsets = binary_parts(batch.column(0))
             _, at = anchors(buf, offsets, least, head)
             yield pa.RecordBatch.from_arrays([pa.array([buf[a : a + tail].tobytes() for a in at[::4]], pa.binary())], ["lead"])
@@ -192,7 +192,7 @@ def spans(docs: DataFrame, least: int, head: int) -> DataFrame:
     splitters = np.unique(leads[:: max(1, len(leads) // buckets)]) if len(leads) else leads
 
     def contexts(batches):
-        for batch in batches:
+        for batch in sliced(batches, "body"):
             buf, offsets = binary_parts(batch.column("body"))
             uids = batch.column("uid").to_numpy(zero_copy_only=False)
             lists = batch.column("places")
@@ -202,13 +202,15 @@ def spans(docs: DataFrame, least: int, head: int) -> DataFrame:
             hot = flat.field("hot").to_numpy(zero_copy_only=False)
             doc = np.repeat(np.arange(len(uids)), lengths)
             pad = np.concatenate([np.zeros(back, np.uint8), buf, np.zeros(least, np.uint8)])
+            around = np.lib.stride_tricks.sliding_window_view(pad, back + least)
             for lo in range(0, len(at), 20_000):
                 d, a, w = doc[lo : lo + 20_000], at[lo : lo + 20_000], hot[lo : lo + 20_000]
                 left = np.minimum(a, back)
                 right = np.minimum(offsets[d + 1] - offsets[d] - a, least)
-                ctx = pad[(offsets[d] + a)[:, None] + np.arange(back + least)]
-                cols = np.arange(back + least)
-                ctx[(cols < back - left[:, None]) | (cols >= back + right[:, None])] = 0
+                ctx = around[offsets[d] + a]
+                for i in np.flatnonzero((left < back) | (right < least)):  # bytes of the neighbouring texts
+                    ctx[i, : back - left[i]] = 0
+                    ctx[i, back + right[i] :] = 0
                 whole = ctx.view(f"S{back + least}").reshape(-1)
                 to = np.searchsorted(splitters, ctx[:, back : back + tail].copy().view(f"S{tail}").reshape(-1), "right") if len(splitters) else np.zeros(len(a), np.int64)
                 order = np.lexsort((right, left, whole))
@@ -309,7 +311,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     found = found.groupBy("uid").agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
 
     def take_out(batches):
-        for batch in batches:
+        for batch in sliced(batches, "body"):
             out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed")}
             for body, cuts in zip(batch.column("body"), batch.column("cuts").to_pylist()):
                 body = body.as_py()
