@@ -25,17 +25,29 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.langid import identify
 
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.fingerprints import fingerprint
+
+    return fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.suffixes import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op4_simhash, op6_language, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op4_simhash, op5_decontamination, op6_language, op7_fingerprints, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}
