@@ -37,27 +37,60 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: what a lambda mentions from outside is otherwise computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shingle_hashes(w: Column) -> Column:
     """Hash of the five words from each place on."""
 
-    def at(x: Column, i: Column) -> Column:
-        return F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)])
+    def hashes(v: Column) -> Column:
+        every = F.transform(v, lambda x, i: F.xxhash64(x, *[F.get(v, i + k) for k in range(1, SHINGLE)]))
+        return F.slice(every, 1, F.greatest(F.size(v) - (SHINGLE - 1), F.lit(0)))
 
-    return F.slice(F.transform(w, at), 1, F.greatest(F.size(w) - (SHINGLE - 1), F.lit(0)))
+    return let(w, hashes)
 
 
 def simhash(w: Column) -> Column:
     """64 weighted votes, as a long."""
-    hashed = F.transform(w, lambda x: F.struct(F.xxhash64(x).alias("h"), F.least(F.char_length(x), F.lit(8)).alias("v")))
-
-    def bit(i: int) -> Column:
-        votes = F.aggregate(hashed, F.lit(0), lambda s, x: s + F.when(F.getbit(x["h"], F.lit(i)) == 1, x["v"]).otherwise(-x["v"]))
-        return F.when(votes > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
-
-    out = bit(0)
-    for i in range(1, 64):
-        out = out.bitwiseOR(bit(i))
-    return out
+    bits = F.sequence(F.lit(0), F.lit(63))
+
+    def vote(sums: Column, x: Column) -> Column:
+        weight = F.least(F.char_length(x), F.lit(8))
+        return F.zip_with(sums, bits, lambda s, i: s + F.when(F.getbit(F.xxhash64(x), i) == 1, weight).otherwise(-weight))
+
+    sums = F.aggregate(w, F.array_repeat(F.lit(0), 64), vote)
+    set_bits = F.transform(sums, lambda s, i: F.when(s > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(set_bits, F.lit(0).cast("long"), lambda t, x: t.bitwiseOR(x))
+
+
+def among(known: list[int]):
+    """A test whether a hash is one of a few known ones: an open-addressing table in one array literal, a handful of steps a look-up."""
+    size = 8
+    while size < 4 * len(known):
+        size *= 2
+    slots = [0] * size  # 0 marks a free slot
+    reach = 1
+    for h in sorted(set(known) - {0}):
+        at = h & (size - 1)
+        step = 0
+        while slots[(at + step) % size]:
+            step += 1
+        slots[(at + step) % size] = h
+        reach = max(reach, step + 1)
+    slots += slots[:reach]
+    table = F.split(F.lit(",".join(map(str, slots))), ",", -1).cast("array<long>")  # folded to a literal by the optimizer
+
+    def test(h: Column) -> Column:
+        at = h.bitwiseAND(F.lit(size - 1)).cast("int")
+        out = F.lit(False)
+        for step in reversed(range(reach)):
+            got = F.get(table, at + step)
+            out = (got == h) | ((got != 0) & out)
+        return (out & (h != 0)) | F.lit(0 in known) & (h == 0)
+
+    return test
 
 
 def block_keys(h: Column) -> Column:
@@ -67,14 +100,16 @@ def block_keys(h: Column) -> Column:
     return F.array(*keys)
 
 
-def weighted_shingles(w: Column) -> Column:
-    """Shingles with repeats told apart, so that sets stand for multisets: arrays of (text, weight)."""
-    n = F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))
+def shingles(w: Column) -> Column:
+    def texts(v: Column) -> Column:
+        n = F.greatest(F.size(v) - (SHINGLE - 1), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(v, i, SHINGLE), " "))
 
+    return let(w, texts)
 
-def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard of two lists of shingles; a shingle's weight is its letters, times its count on each side."""
+
+def similarity(wa: Column, wb: Column) -> Column:
+    """Weighted Jaccard of two texts' shingles; a shingle's weight is its letters, times its count on each side."""
 
     def weight(s: Column) -> Column:
         return F.char_length(F.translate(s, " ", ""))
@@ -82,10 +117,14 @@ def similarity(a: Column, b: Column) -> Column:
     def count(x: Column, s: Column) -> Column:
         return F.size(F.filter(x, lambda y: y == s))
 
-    low = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda t, s: t + weight(s) * F.least(count(a, s), count(b, s)))
-    full_a = F.aggregate(a, F.lit(0), lambda t, s: t + weight(s))
-    full_b = F.aggregate(b, F.lit(0), lambda t, s: t + weight(s))
-    return low / F.greatest(full_a + full_b - low, F.lit(1))
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0), lambda t, s: t + weight(s))
+
+    def jaccard(a: Column, b: Column) -> Column:
+        low = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda t, s: t + weight(s) * F.least(count(a, s), count(b, s)))
+        return let(low, lambda x: x / F.greatest(total(a) + total(b) - x, F.lit(1)))
+
+    return let(shingles(wa), lambda a: let(shingles(wb), lambda b: jaccard(a, b)))
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -101,10 +140,10 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     base = docs.select("doc_id", words(F.col("text")).alias("w"))
     if small:
         # a counted, bounded set of hashes: rows without one of them end at the scan
-        known = [r[0] for r in seeds.select("h").distinct().collect()]
-        some = base.filter(F.size(F.filter(shingle_hashes(F.col("w")), lambda h: h.isin(known))) > 0) if known else base.limit(0)
-        found = some.select("doc_id", "w", F.transform(shingle_hashes(F.col("w")), lambda h, i: F.struct(h.alias("h"), i.alias("pos"))).alias("hs"))
-        hits = found.select("doc_id", "w", F.explode(F.filter("hs", lambda x: x["h"].isin(known))).alias("x")).select("doc_id", "w", "x.h", "x.pos")
+        known = among([r[0] for r in seeds.select("h").distinct().collect()])
+        some = base.filter(F.exists(shingle_hashes(F.col("w")), known))
+        found = some.select("doc_id", "w", F.transform(shingle_hashes(F.col("w")), lambda h, i: F.when(known(h), F.struct(h.alias("h"), i.alias("pos")))).alias("hs"))
+        hits = found.select("doc_id", "w", F.explode(F.filter("hs", lambda x: x.isNotNull())).alias("x")).select("doc_id", "w", "x.h", "x.pos")
     else:
         hits = base.select("doc_id", "w", F.posexplode(shingle_hashes(F.col("w"))).alias("pos", "h"))
     hits = hits.join(hint(seeds), "h")
@@ -117,10 +156,10 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
         spots = base.select("doc_id", "w", F.posexplode("w").alias("pos", "first")).join(hint(tiny), "first")
         windows = windows.unionByName(spots.select("doc_id", F.col("pos").alias("start_word"), "n", F.slice("w", F.col("pos") + 1, F.col("n")).alias("win")))
     windows = windows.dropDuplicates(["doc_id", "start_word", "n", "win"])
-    marked = windows.withColumn("h", simhash(F.col("win"))).withColumn("key", F.explode(block_keys(F.col("h"))))
+    marked = cut(windows.withColumn("h", simhash(F.col("win")))).withColumn("key", F.explode(block_keys(F.col("h"))))
     index = bench.select("item_id", "iw", "ih", F.explode(block_keys(F.col("ih"))).alias("key"), F.col("n").alias("n_item"))
     near = F.bit_count(F.col("h").bitwiseXOR(F.col("ih"))) <= RADIUS
     met = marked.join(hint(index), (marked.key == index.key) & (F.col("n") == F.col("n_item")) & near)
-    scored = met.select("doc_id", "item_id", "start_word", similarity(weighted_shingles(F.col("win")), weighted_shingles(F.col("iw"))).alias("similarity"))
+    scored = met.select("doc_id", "item_id", "start_word", similarity(F.col("win"), F.col("iw")).alias("similarity"))
     best = F.max(F.struct("similarity", (-F.col("start_word")).alias("s"))).alias("best")
     return scored.filter(F.col("similarity") >= least).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.s")).alias("start_word"))
