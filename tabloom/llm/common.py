@@ -27,17 +27,19 @@ def width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """(uid, body binary), a key for each row and its text, null as empty; and (uid, doc_id), or None where the key is the id.
+def identified(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame | None]:
+    """(uid, body binary), a key for each row and its text, null as empty; and (uid, doc_id, carry), or None where the key is the id
+    and nothing is carried.
 
     Repeated or missing ids make rows hard to tell apart in joins, so such tables are numbered and checkpointed."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"), *carry)
     ids = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if ids.filter("n > 1 or doc_id is null").limit(1).count():
         base = cut(base.withColumn("uid", F.monotonically_increasing_id()))
-        return base.select("uid", "body"), base.select("uid", "doc_id")
+        return base.select("uid", "body"), base.select("uid", "doc_id", *carry)
     # the filter holds for every row; spelling it out makes all joins on uid share one exchange of the texts
-    return base.select(F.col("doc_id").cast("long").alias("uid"), "body").filter("uid is not null"), None
+    base = base.withColumn("uid", F.col("doc_id").cast("long")).filter("uid is not null")
+    return base.select("uid", "body"), base.select("uid", "doc_id", *carry) if carry else None
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

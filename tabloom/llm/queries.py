@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabloom.llm import chat, licenses, lines
 from tabloom.llm.common import table
 
 
@@ -19,6 +20,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.simhash import near_duplicates
 
@@ -43,11 +50,26 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.lines import repeated_units
+
+    return repeated_units(table(spark, sf_dir, "documents"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.chat import rotate
+
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.suffixes import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op4_simhash, op5_decontamination, op6_language, op7_fingerprints, op10_suffix_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_packing, op2_quality, op3_licenses, op4_simhash, op5_decontamination, op6_language, op7_fingerprints, op8_lines, op9_chat, op10_suffix_dedup)
+}
+ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle(), "op8_lines": lines.oracle(), "op9_chat": chat.oracle()}

@@ -139,9 +139,7 @@ def repeated(ctx: np.ndarray, left: np.ndarray, right: np.ndarray, many: np.ndar
     n = len(ctx)
     most, fewest = np.where(many, left, -1), np.where(many, least - right, least)
     cols = np.ascontiguousarray(ctx.T)
-    top = _BASE
-    for _ in range(least - 2):
-        top = top * _BASE
+    top = np.uint64(pow(int(_BASE), least - 1, 1 << 64))
     h = np.zeros(n, np.uint64)
     for c in range(back + least - 1, back - 1, -1):
         h = h * _BASE + _BYTE[cols[c]]
@@ -177,7 +175,7 @@ def spans(docs: DataFrame, least: int, head: int) -> DataFrame:
 
     found = docs.mapInArrow(find, "lead long, uid long, at int")
     seen = cut(found.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("hot", F.col("n") > HOT).drop("n"))
-    places = found.join(seen, "lead").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", "hot"))).alias("places"))
+    places = found.join(seen.hint("shuffle_hash"), "lead").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", "hot"))).alias("places"))
 
     def sample_leads(batches):
         for batch in sliced(batches, 0):
@@ -203,8 +201,8 @@ def spans(docs: DataFrame, least: int, head: int) -> DataFrame:
             doc = np.repeat(np.arange(len(uids)), lengths)
             pad = np.concatenate([np.zeros(back, np.uint8), buf, np.zeros(least, np.uint8)])
             around = np.lib.stride_tricks.sliding_window_view(pad, back + least)
-            for lo in range(0, len(at), 20_000):
-                d, a, w = doc[lo : lo + 20_000], at[lo : lo + 20_000], hot[lo : lo + 20_000]
+            for lo in range(0, len(at), 8_000):
+                d, a, w = doc[lo : lo + 8_000], at[lo : lo + 8_000], hot[lo : lo + 8_000]
                 left = np.minimum(a, back)
                 right = np.minimum(offsets[d + 1] - offsets[d] - a, least)
                 ctx = around[offsets[d] + a]
@@ -231,7 +229,7 @@ def spans(docs: DataFrame, least: int, head: int) -> DataFrame:
                     ["bucket", "hot", "ctx", "left", "right", "uids", "ats"],
                 )
 
-    ctx = docs.join(places, "uid").mapInArrow(contexts, "bucket int, hot boolean, ctx binary, left int, right int, uids array<long>, ats array<int>")
+    ctx = docs.join(places.hint("shuffle_hash"), "uid").mapInArrow(contexts, "bucket int, hot boolean, ctx binary, left int, right int, uids array<long>, ats array<int>")
 
     def unpack(t: pa.Table) -> tuple:
         raw, at = binary_parts(t.column("ctx"))
@@ -255,12 +253,12 @@ def spans(docs: DataFrame, least: int, head: int) -> DataFrame:
         order, shared = multikey_order(rows_[:, back:])
         inner = np.r_[False, shared[1:] >= tail]
         run = np.cumsum(~inner) - 1
-        # whole runs of one lead, about 20000 suffixes at a time
+        # whole runs of one lead, about 8000 suffixes at a time
         sizes = np.bincount(run)
         stop = np.cumsum(sizes)
         lo = 0
         while lo < len(order):
-            hi = int(stop[min(np.searchsorted(stop, lo + 20_000), len(stop) - 1)])
+            hi = int(stop[min(np.searchsorted(stop, lo + 8_000), len(stop) - 1)])
             part = order[lo:hi]
             lo = hi
             sub = t.take(pa.array(part))
@@ -304,10 +302,10 @@ def merged(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 200, head: int = 150) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary, removed array of [start, end))."""
-    base, ids = identified(docs, id_col, text_col)
-    found = spans(base, least, head)
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 200, head: int = 150, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary, removed array of [start, end)) and docs' columns of carry."""
+    base, ids = identified(docs, id_col, text_col, carry)
+    found = spans(base.select("uid", "body"), least, head)
     found = found.groupBy("uid").agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
 
     def take_out(batches):
@@ -327,7 +325,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column("uid"), *(pa.array(v, t) for v, t in zip(out.values(), kinds))], ["uid", *out])
 
     schema = "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start: long, end: long>>"
-    out = base.join(found, "uid", "left").select("uid", "body", "cuts").mapInArrow(take_out, schema)
+    out = base.select("uid", "body").join(found.hint("shuffle_hash"), "uid", "left").select("uid", "body", "cuts").mapInArrow(take_out, schema)
     if ids is not None:
-        return out.join(ids, "uid").select("doc_id", *out.columns[1:])
+        return out.join(ids.hint("shuffle_hash"), "uid").drop("uid").select("doc_id", *out.columns[1:], *carry)
     return out.select(F.col("uid").cast(docs.schema[id_col].dataType).alias("doc_id"), *out.columns[1:])
