@@ -34,8 +34,8 @@ from tabloom.llm.common import binary_parts, cut, identified, sliced, width
 K = 8
 #: Texts whose suffixes give the splitters.
 SPLIT_SAMPLE = 2_000
-#: A lead with more suffixes than this is counted by window hash instead of gathered.
-HOT = 200_000
+#: A lead with more suffixes than this is counted by window hash instead of gathered; so many, all different, take about 170 MB.
+HOT = 500_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3 * 0x10001 | 1)
 _BYTE = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -274,21 +274,27 @@ def spans(docs: DataFrame, least: int, head: int) -> DataFrame:
                 continue
             t = pa.Table.from_batches([b])
             rows_, left, right = unpack(t)
-            n = t.column("uids").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            uid, at = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("uids", "ats"))
+            uids, ats = t.column("uids").combine_chunks(), t.column("ats").combine_chunks()
+            n = uids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.cumsum(n) - n
+            uid, at = uids.flatten().to_numpy()[first], ats.flatten().to_numpy()[first]
             for d in range(back + 1):
-                ok = np.repeat((d <= left) & (least - d <= right), n)
+                ok = (d <= left) & (least - d <= right)
                 h = np.zeros(len(rows_), np.uint64)
                 for c in range(back - d + least - 1, back - d - 1, -1):
                     h = h * _BASE + _BYTE[rows_[:, c]]
                 h = mix(h ^ np.uint64(d)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h, n)[ok]), pa.array(uid[ok]), pa.array(at[ok]), pa.array(np.full(int(ok.sum()), d, np.int32))], ["h", "uid", "at", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[ok]), pa.array(n[ok]), pa.array(uid[ok]), pa.array(at[ok]), pa.array(np.full(int(ok.sum()), d, np.int32))], ["h", "n", "uid", "at", "d"])
 
     if seen.filter("hot").limit(1).count():
-        windows = ctx.filter("hot").mapInArrow(window_hashes, "h long, uid long, at int, d int")
-        twice = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+        # a context and its places are told by the first of these
+        many = cut(ctx.filter("hot"))
+        windows = many.mapInArrow(window_hashes, "h long, n long, uid long, at int, d int")
+        twice = windows.groupBy("h").agg(F.sum("n").alias("total")).filter("total > 1").select("h")
         ends = windows.join(twice, "h").groupBy("uid", "at").agg(F.max("d").alias("most"), F.min("d").alias("fewest"))
-        cold = cold.unionByName(ends.select("uid", (F.col("at") - F.col("most")).cast("long").alias("s"), (F.col("at") + least - F.col("fewest")).cast("long").alias("e")))
+        lists = many.select(F.get("uids", F.lit(0)).alias("uid"), F.get("ats", F.lit(0)).alias("at"), F.arrays_zip("uids", "ats").alias("places"))
+        ends = lists.join(ends, ["uid", "at"]).select("most", "fewest", F.explode("places").alias("x"))
+        cold = cold.unionByName(ends.select(F.col("x.uids").alias("uid"), (F.col("x.ats") - F.col("most")).cast("long").alias("s"), (F.col("x.ats") + least - F.col("fewest")).cast("long").alias("e")))
     return cold
 
 
