@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,7 +87,7 @@ def binary_parts(array) -> tuple[np.ndarray, np.ndarray]:
     return buf, at - at[0]
 
 
-def sliced(batches, column: int | str, most: int = 4 << 20):
+def sliced(batches, column: int | str, most: int = 2 << 20):
     """The same rows in batches of at most `most` bytes of one column, or of a single row; so a task's memory stays level."""
     for batch in batches:
         _, at = binary_parts(batch.column(column))
@@ -95,3 +96,5 @@ def sliced(batches, column: int | str, most: int = 4 << 20):
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+        del batch, at
+        pa.default_memory_pool().release_unused()

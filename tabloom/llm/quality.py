@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm.common import sliced
+
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 DIM, NONZERO, VOCABULARY, HIDDEN = 96, 8, 20_000, 32
 SHAPES = ("lower", "upper", "title", "mixed", "digits", "letter", "mark", "marks")
@@ -173,7 +175,7 @@ def score_quality(
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col=id_col, text_col=text_col, label_id=label_id, label_col=label_col, sample=sample))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, "__text"):
             texts = [t or "" for t in batch.column("__text").to_pylist()]
             scores = np.concatenate([score_texts(texts[lo : lo + 256], model.value) for lo in range(0, len(texts), 256)] or [np.zeros(0)])
             names = [n for n in batch.schema.names if n != "__text"]

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import components, cut, width
+from tabloom.llm.common import components, cut, sliced, width
 
 #: Classes sampled for bit correlations and candidate estimates.
 SAMPLE = 20_000
@@ -65,7 +65,7 @@ def fingerprints_of(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.
             starts = [0, *ends[:-shingle]]
             hashes.extend([digest(joined[s : e - 1], seed) for s, e in zip(starts, ends[shingle - 1 :])])
             counts[i] = len(ends) - shingle + 1
-        if len(hashes) > 200_000:
+        if len(hashes) > 50_000:
             flush(done, i + 1)
             done = i + 1
     flush(done, len(texts))
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3)
     """(doc_id, fp long) of every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints_of(texts, shingle))], ["doc_id", "fp"])
 
