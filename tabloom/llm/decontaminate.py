@@ -66,31 +66,30 @@ def simhash(w: Column) -> Column:
 
 
 def among(known: list[int]):
-    """A test whether a hash is one of a few known ones: an open-addressing table in one array literal, a handful of steps a look-up."""
+    """A test whether a hash is one of a few known ones, and the array literal that it reads: an open-addressing table of the hashes' upper
+    halves. What passes is joined on the whole hash afterwards, so a false hit costs a row and no more."""
     size = 8
-    while size < 4 * len(known):
+    while size < 3 * len(known):
         size *= 2
-    slots = [0] * size  # 0 marks a free slot
-    reach = 1
-    for h in sorted(set(known) - {0}):
-        at = h & (size - 1)
-        step = 0
+    slots, reach = [0] * size, 1  # 0 marks a free slot
+    for h in sorted(set(known)):
+        at, step = h & (size - 1), 0
         while slots[(at + step) % size]:
             step += 1
-        slots[(at + step) % size] = h
+        slots[(at + step) % size] = (h >> 32) or 1
         reach = max(reach, step + 1)
-    slots += slots[:reach]
-    table = F.split(F.lit(",".join(map(str, slots))), ",", -1).cast("array<long>")  # folded to a literal by the optimizer
+    table = F.split(F.lit(",".join(map(str, slots + slots[:reach]))), ",", -1).cast("array<int>")  # folded to a literal by the optimizer
 
-    def test(h: Column) -> Column:
-        at = h.bitwiseAND(F.lit(size - 1)).cast("int")
+    def test(t: Column, h: Column) -> Column:
+        at, top = h.bitwiseAND(F.lit(size - 1)).cast("int"), F.shiftright(h, 32).cast("int")
+        top = F.when(top == 0, F.lit(1)).otherwise(top)
         out = F.lit(False)
         for step in reversed(range(reach)):
-            got = F.get(table, at + step)
-            out = (got == h) | ((got != 0) & out)
-        return (out & (h != 0)) | F.lit(0 in known) & (h == 0)
+            got = F.get(t, at + step)
+            out = (got == top) | ((got != 0) & out)
+        return out
 
-    return test
+    return table, test
 
 
 def block_keys(h: Column) -> Column:
@@ -140,10 +139,10 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     base = docs.select("doc_id", words(F.col("text")).alias("w"))
     if small:
         # a counted, bounded set of hashes: rows without one of them end at the scan
-        known = among([r[0] for r in seeds.select("h").distinct().collect()])
-        some = base.filter(F.exists(shingle_hashes(F.col("w")), known))
-        found = some.select("doc_id", "w", F.transform(shingle_hashes(F.col("w")), lambda h, i: F.when(known(h), F.struct(h.alias("h"), i.alias("pos")))).alias("hs"))
-        hits = found.select("doc_id", "w", F.explode(F.filter("hs", lambda x: x.isNotNull())).alias("x")).select("doc_id", "w", "x.h", "x.pos")
+        table, known = among([r[0] for r in seeds.select("h").distinct().collect()])
+        some = base.filter(let(table, lambda t: F.exists(shingle_hashes(F.col("w")), lambda h: known(t, h))))
+        marks = let(table, lambda t: F.transform(shingle_hashes(F.col("w")), lambda h, i: F.when(known(t, h), F.struct(h.alias("h"), i.alias("pos")))))
+        hits = some.select("doc_id", "w", F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("x")).select("doc_id", "w", "x.h", "x.pos")
     else:
         hits = base.select("doc_id", "w", F.posexplode(shingle_hashes(F.col("w"))).alias("pos", "h"))
     hits = hits.join(hint(seeds), "h")
