@@ -39,20 +39,30 @@ class Profile:
     blank_rows: int = 0
 
 
-def _measures(data: Dataset, i: int) -> list:
-    text, string = data.text(i), data.is_string(i)
-    x = strip(text)
-    filled = ~is_missing(text, string)
-    present = ~is_empty(text)
-    vote = F.when(filled, D.value_type(text))
+def _prepared(data: Dataset, columns: range) -> DataFrame:
+    """Each column's trimmed text x, its vote and what counts as filled, worked out once; the aggregate reads these."""
+    out = [F.col(ROW)]
+    blank = F.lit(True)
+    for i in range(len(data)):
+        blank = blank & is_empty(data.text(i))
+    for i in columns:
+        text, string = data.text(i), data.is_string(i)
+        filled = ~is_missing(text, string)
+        out += [strip(text).alias(f"x{i}"), filled.alias(f"filled{i}"), F.when(filled, D.value_type(text)).alias(f"vote{i}"), (is_sentinel(text) & F.lit(string)).alias(f"sentinel{i}"), display_number(text).isNotNull().alias(f"number{i}")]
+    return data.df.select(*out, blank.alias("blank"))
+
+
+def _measures(i: int) -> list:
+    x, filled, vote = F.col(f"x{i}"), F.col(f"filled{i}"), F.col(f"vote{i}")
+    present = x != ""
     out = [
         F.count_if(filled).alias(f"filled_{i}"),
         F.count_if(present).alias(f"present_{i}"),
-        F.count_if(is_sentinel(text) & F.lit(string)).alias(f"sentinels_{i}"),
-        F.count_distinct(F.when(filled, x)).alias(f"distinct_{i}"),
+        F.count_if(F.col(f"sentinel{i}")).alias(f"sentinels_{i}"),
+        F.count_distinct(F.when(filled, F.lower(x))).alias(f"distinct_{i}"),
     ]
     out += [F.count_if(vote == t).alias(f"vote_{t}_{i}") for t in D.TYPES]
-    numeric = present & (display_number(text).isNotNull() | x.rlike(r"^\(?[£$€¥]?\s?-?[\d,]+(\.\d+)?\)?%?$"))
+    numeric = present & (F.col(f"number{i}") | x.rlike(r"^\(?[£$€¥]?\s?-?[\d,]+(\.\d+)?\)?%?$"))
     word, num = F.lower(x), r"^(\d{1,2})[/\-.](\d{1,2})[/\-.]\d{2,4}$"
     a, b = F.regexp_extract(x, num, 1).try_cast("int"), F.regexp_extract(x, num, 2).try_cast("int")
     out += [
@@ -73,14 +83,13 @@ def _measures(data: Dataset, i: int) -> list:
 
 def profile(data: Dataset, samples: bool = True) -> Profile:
     """Votes of all values that are neither blank nor sentinels; the type with 60 % of them wins, else `mixed`."""
-    width, got, blank = len(data), {}, F.lit(True)
-    for i in range(width):
-        blank = blank & is_empty(data.text(i))
+    width, got = len(data), {}
     for lo in range(0, width, CHUNK):
-        exprs = [F.count(F.lit(1)).alias("rows"), F.count_if(blank).alias("blank_rows")]
-        for i in range(lo, min(lo + CHUNK, width)):
-            exprs += _measures(data, i)
-        got |= data.df.agg(*exprs).first().asDict()
+        part = range(lo, min(lo + CHUNK, width))
+        exprs = [F.count(F.lit(1)).alias("rows"), F.count_if("blank").alias("blank_rows")]
+        for i in part:
+            exprs += _measures(i)
+        got |= _prepared(data, part).agg(*exprs).first().asDict()
     shown: dict[int, list[str]] = {i: [] for i in range(width)}
     if samples:
         for i in range(width):
