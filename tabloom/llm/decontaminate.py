@@ -9,8 +9,8 @@ Words are runs of letters and digits in lower case. An item is its words; a wind
    Items' shingles are few; documents' are hashed in place and only those found leave the row. At most one window is proposed for each item,
    start and document, so a passage that a third of all rows hold costs a row per row.
 2. SimHash: the window's words vote, each with its weight (its length in letters, up to 8), on 64 bits.
-3. Multi-index: fingerprints are cut in RADIUS + 1 = 13 blocks; two within 12 bits agree on a block. A window meets just the items with
-   which it agrees on one, and is kept within 12 bits.
+3. Multi-index: fingerprints are cut in RADIUS + 1 = 21 blocks; two within 20 bits agree on a block. A window meets just the items with
+   which it agrees on one, and is kept within 20 bits. Two texts at the similarity differ in 5 to 12 bits, short ones in a few more.
 4. Verification: weighted Jaccard similarity of five-word shingles (of all words, where there are fewer), the weight of a shingle
    being the letters in it; 0.8 or more makes a leak.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import cut
 
-SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 12, 13
+SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 20, 21
 BROADCAST_ROWS = 50_000
 
 
