@@ -85,8 +85,7 @@ def undecorated(text: Column) -> Column:
     """A number written with a currency sign, thousands commas or parentheses, as plain digits; null where that changes nothing."""
     x = strip(text)
     paren = x.rlike(r"^\(.*\)$")
-    x1 = strip(F.when(paren, F.expr("''")).otherwise(x)) if False else F.when(paren, F.regexp_replace(x, r"^\(|\)$", "")).otherwise(x)
-    x1 = strip(x1)
+    x1 = strip(F.when(paren, F.regexp_replace(x, r"^\(|\)$", "")).otherwise(x))
     minus = x1.startswith("-")
     x2 = strip(F.when(minus, F.substring(x1, 2, 1 << 30)).otherwise(x1))
     x3 = F.regexp_replace(x2, r"^([^£$€¥]*)[£$€¥]", "$1")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -17,7 +16,7 @@ MOST_PARTS = 8
 def split_column(data: Dataset, column: int, separator: str = " ", names: list[str] | None = None) -> Dataset:
     """Splits on literal text into up to 8 parts; the widest row decides; what is beyond stays in the last part."""
     separator = separator or " "
-    parts = F.split(data.text(column), re.escape(separator) if False else "\\Q" + separator + "\\E", MOST_PARTS)
+    parts = F.split(data.text(column), "\\Q" + separator + "\\E", MOST_PARTS)
     wide = data.df.agg(F.max(F.size(parts))).first()[0] or 1
     if wide < 2:
         return data

@@ -130,30 +130,38 @@ def build(data: Dataset, prof: Profile, disabled: frozenset[str] = frozenset(),
     bool_at = [c.index for c in prof.columns if c.facts["bool_words"] and c.facts["present"] >= 3 and c.facts["bool_all"] >= 0.8 * c.facts["present"]] if on("normalize-boolean") else []
     spelled = boolean_winners(data, bool_at)
 
+    # what several expressions read becomes a column of its own, so that it is worked out, and compiled, once
+    held: dict[str, Column] = {}
+
+    def hold(expr: Column, tag: str, i: int) -> Column:
+        held[f"_h_{tag}_{i}"] = expr
+        return F.col(f"_h_{tag}_{i}")
+
     for c in prof.columns:
         i, text, name = c.index, data.text(c.index), c.name
         string = data.is_string(i)
-        present = ~X.is_empty(text)
+        present = hold(~X.is_empty(text), "present", i)
+        tidy = hold(X.clean_space(text), "tidy", i)
         broken = F.lit(False)
         if string and on("fix-encoding"):
-            fixed = X.demojibake(text)
+            fixed = hold(X.demojibake(text), "fixed", i)
             broken = present & (fixed != text)
             fixes.append(Fix("fix-encoding", i, broken, X.clean_space(fixed), one(0.95)))
         if string and on("trim-whitespace"):
-            fixes.append(Fix("trim-whitespace", i, present & ~broken & (X.clean_space(text) != text), X.clean_space(text), one(1.0)))
+            fixes.append(Fix("trim-whitespace", i, present & ~broken & (tidy != text), tidy, one(1.0)))
         if string and on("remove-blank-rows"):
             fixes.append(Fix("normalize-missing", i, X.is_sentinel(text), F.lit(None).cast("string"), one(0.9), "info"))
-        usable = ~X.is_missing(text)
+        usable = hold(~X.is_missing(text), "usable", i)
         if i in case_win:
-            fixes.append(Fix("consistent-casing", i, F.coalesce(usable & (X.clean_space(text) != case_win[i]), one(False)), case_win[i], one(0.9)))
+            fixes.append(Fix("consistent-casing", i, F.coalesce(usable & (tidy != case_win[i]), one(False)), case_win[i], one(0.9)))
         if i in value_win:
-            other = F.lower(X.clean_space(text)) != F.lower(value_win[i])
+            other = F.lower(tidy) != F.lower(value_win[i])
             fixes.append(Fix("standardise-values", i, F.coalesce(usable & other, one(False)), value_win[i], one(0.85)))
         if string and on("normalize-date") and (c.type == "date" or (named(name, "date|dob|created|updated|joined") and c.facts["dates"])):
             dmy, mdy = c.facts["dmy"], c.facts["mdy"]
             mixed = date_order == "auto" and dmy > 0 and mdy > 0
             order = date_order if date_order != "auto" else "MDY" if mdy > dmy else "DMY"
-            got = D.parse_date(text, order)
+            got = hold(D.parse_date(text, order), "date", i)
             ok = got["date"].isNotNull()
             unsure = got["ambiguous"] if mixed else one(False)
             after = D.show_date(got["date"], date_style)
@@ -163,15 +171,17 @@ def build(data: Dataset, prof: Profile, disabled: frozenset[str] = frozenset(),
             if mixed:
                 flags.append(Flag("ambiguous-date", i, F.coalesce(present & ok & unsure, one(False)), "warning"))
         if string and on("normalize-number") and c.facts["present"] >= 3 and c.facts["numeric"] >= 0.7 * c.facts["present"]:
-            fixes.append(Fix("normalize-number", i, X.undecorated(text).isNotNull(), X.undecorated(text), one(0.92)))
+            plain = hold(X.undecorated(text), "plain", i)
+            fixes.append(Fix("normalize-number", i, plain.isNotNull(), plain, one(0.92)))
         if i in spelled:
-            word = F.lower(X.clean_space(text))
+            word = F.lower(tidy)
             target = F.when(word.isin([*D.TRUE_WORDS, "1"]), spelled[i][0]).when(word.isin([*D.FALSE_WORDS, "0"]), spelled[i][1])
             if string:
-                fixes.append(Fix("normalize-boolean", i, F.coalesce(target != X.clean_space(text), one(False)), target, one(0.9)))
+                fixes.append(Fix("normalize-boolean", i, F.coalesce(target != tidy, one(False)), target, one(0.9)))
 
         def pair(rule: str, gate: bool, value: Column, confidence: float, extra: Column = one(True)) -> None:
             if gate and on(f"normalize-{rule}"):
+                value = hold(value, rule.replace("-", "_"), i)
                 fixes.append(Fix(f"normalize-{rule}", i, F.coalesce(present & extra & (value != text), one(False)), value, one(confidence)))
                 flags.append(Flag(f"invalid-{rule}", i, present & extra & value.isNull(), "error"))
 
@@ -181,7 +191,8 @@ def build(data: Dataset, prof: Profile, disabled: frozenset[str] = frozenset(),
         pair("vat", named(name, r"\bvat\b|vat"), D.normal_vat(text), 1.0)
         pair("sort-code", named(name, r"sort[\s_-]*code"), D.normal_sort_code(text), 1.0)
         pair("company-number", named(name, r"company[\s_-]*(no|number|reg)|\bcrn\b"), D.normal_company(text), 1.0)
-    return data, fixes, flags
+    wide = Dataset(data.df.withColumns(held), data.headers, data.ragged_rows, data.kinds)
+    return wide, fixes, flags
 
 
 def patches(data: Dataset, fixes: list[Fix]) -> DataFrame:
