@@ -61,6 +61,8 @@ def clean(spark: SparkSession, a: argparse.Namespace) -> int:
         plan = replace(plan, join={"type": "left", "keys": None})
     result, done = P.run(data, plan, other)
     rep = P.report(result, frozenset(plan.skip))
+    # read by many jobs from here on; kept on disk where memory ends, and worked out again where an executor is lost
+    done = replace(done, df=done.df.persist())
     # the gate judges what is left in the result, by default options
     left = cleanse(done, Options(projection=False)).score
     rep["residual"] = asdict(left)
@@ -70,6 +72,7 @@ def clean(spark: SparkSession, a: argparse.Namespace) -> int:
             f.write(P.to_html(rep) if a.report.endswith(".html") else P.markdown(rep))
     if a.out:
         _save(done, a.out)
+    done.df.unpersist()
     if a.json:
         print(json.dumps(rep))
     return int(a.min_score is not None and left.composite < a.min_score)
