@@ -23,6 +23,7 @@ IPV4 = r"^\d{1,3}(\.\d{1,3}){3}$"
 BOOLEAN_VOTES = ["true", "false", "yes", "no", "y", "n", "1", "0"]
 TRUE_WORDS, FALSE_WORDS = ["true", "yes", "y", "t"], ["false", "no", "n", "f"]
 NATIONAL_INSURANCE = r"(?i)^[A-CEGHJ-PR-TW-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]$"
+CARD_SHAPE = r"^\d(?:[\s-]*\d){12,18}$"
 EXCEL_DATE = r"(?i)^(\d{1,2}-(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)|(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)-\d{2})$"
 EXCEL_POWER = r"(?i)^\d(\.\d+)?E\+\d{1,3}$"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]

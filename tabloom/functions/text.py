@@ -139,7 +139,7 @@ def relaxed_keys(key: Column) -> dict[str, Column]:
 
 def luhn(text: Column) -> Column:
     """Whether 13 to 19 digits, spaces and hyphens aside, pass the Luhn check."""
-    digits = F.regexp_replace(text, r"[ -]", "")
+    digits = F.regexp_replace(text, r"[\s-]", "")
     size = F.char_length(digits)
     value = F.aggregate(
         F.sequence(F.lit(1), F.greatest(size, F.lit(1))),

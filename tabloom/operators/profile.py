@@ -77,6 +77,7 @@ def _measures(i: int) -> list:
         F.count_if(filled & x.rlike(D.EXCEL_DATE)).alias(f"excel_date_{i}"),
         F.count_if(filled & x.rlike(D.EXCEL_POWER)).alias(f"excel_power_{i}"),
         F.count_if(filled & x.rlike(D.NATIONAL_INSURANCE)).alias(f"insurance_{i}"),
+        F.count_if(filled & x.rlike(D.CARD_SHAPE)).alias(f"card_shape_{i}"),
     ]
     return out
 

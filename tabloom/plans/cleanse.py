@@ -12,6 +12,7 @@ from tabloom.functions import domain as D
 from tabloom.functions import text as X
 from tabloom.operators import rules as R
 from tabloom.operators.constraints import Constraint, check
+from tabloom.operators.personal import personal_columns
 from tabloom.operators.profile import Profile, profile
 from tabloom.plans.score import Finding, Score, score_table
 
@@ -95,7 +96,6 @@ def analyse(data: Dataset, options: Options) -> tuple[Dataset, Profile, list[R.F
 def _advisories(data: Dataset, prof: Profile, options: Options) -> list[Finding]:
     out: list[Finding] = []
     rows = prof.rows - prof.blank_rows
-    pii = 0
     for c in prof.columns:
         gaps = c.empty - prof.blank_rows
         if "remove-blank-rows" not in options.disabled and c.non_empty and rows and gaps >= 0.05 * rows:
@@ -117,11 +117,9 @@ def _advisories(data: Dataset, prof: Profile, options: Options) -> list[Finding]
                 out.append(Finding("excel-date-artifact", "warning", c.facts["excel_date"], f"{c.name}: turned into dates", column=c.name))
             if c.type in ("string", "mixed", "number") and idish and c.non_empty >= 4 and c.facts["excel_power"]:
                 out.append(Finding("excel-scientific-notation", "warning", c.facts["excel_power"], f"{c.name}: scientific notation", column=c.name))
-        personal = c.type in ("email", "phone", "postcode") or R.named(c.name, r"birth|dob|national insurance|\bni\b|address|salary|phone|mobile|card|\bpan\b|name")
-        veto = R.named(c.name, r"(company|business|organi[sz]ation|product|brand|item|file|sheet|host|domain|user)\s*name")
-        pii += bool((personal and not veto and c.non_empty) or (c.non_empty >= 4 and c.facts["insurance"] >= 0.6 * c.non_empty))
-    if pii and "pii-present" not in options.disabled:
-        out.append(Finding("pii-present", "info", pii, f"{pii} column(s) hold personal data"))
+    if "pii-present" not in options.disabled and (held := personal_columns(data, prof)):
+        said = "; ".join(f"{label} ({', '.join(n for n in held if held[n] == label)})" for label in dict.fromkeys(held.values()))
+        out.append(Finding("pii-present", "info", len(held), f"Personal data in {len(held)} column(s): {said}"))
     if "inconsistent-mapping" not in options.disabled:
         n = sum(r.violations for r in R.dependencies(data, prof).collect())
         if n:

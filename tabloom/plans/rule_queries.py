@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.dataset import ROW, Dataset
+from tabloom.functions import text as X
 from tabloom.operators import rules as R
+from tabloom.operators.personal import personal_columns
 from tabloom.operators.profile import profile
 from tabloom.plans.queries import SQL_MESS, mess, query, view
 
@@ -110,3 +112,26 @@ def rule_excel_dates(spark, d):
     c = profile(data, samples=False).columns[data.index("gene")]
     n = c.facts["excel_date"] if 1 <= c.facts["excel_date"] <= 0.2 * c.non_empty else 0
     return spark.createDataFrame([(n,)], "dates long")
+
+
+_CARD = "'4' || lpad(cast(o_orderkey as {text}), 15, '0')"
+_DOUBLED = "cast(substring(card, i, 1) as int) * (case when i % 2 = 1 then 2 else 1 end)"
+
+
+@query(f"""with c as (select o_orderpriority as priority, {_CARD.format(text='varchar')} as card from orders),
+d as (select priority, list_sum(list_transform(range(1, 17), lambda i: ({_DOUBLED}) // 10 + ({_DOUBLED}) % 10)) % 10 = 0 as valid from c)
+select priority, count(*) as n, count(*) filter (where valid) as valid from d group by priority""")
+def check_card_numbers(spark, d):
+    """Sixteen-digit numbers whose check digit holds, of each priority; some are written with spaces."""
+    card = F.expr(_CARD.format(text="string"))
+    spaced = F.when(F.col("o_orderkey") % 2 == 0, F.regexp_replace(card, r"(\d{4})(?=\d)", "$1 ")).otherwise(card)
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    return orders.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n"), F.count_if(X.luhn(spaced)).alias("valid"))
+
+
+@query("select 'postcode' as name, 'postcodes' as label")
+def rule_personal_data(spark, d):
+    """Columns with personal data, and which kind."""
+    data = more(spark, d, "place", "company", "postcode", "amount")
+    found = personal_columns(data, profile(data, samples=False))
+    return spark.createDataFrame(list(found.items()), "name string, label string")

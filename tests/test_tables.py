@@ -8,6 +8,8 @@ from tabloom.operators import reshape as S
 from tabloom.operators.aggregate import Aggregation, group_by
 from tabloom.operators.diff import diff_tables
 from tabloom.operators.join import join_tables
+from tabloom.operators.personal import personal_columns
+from tabloom.operators.profile import profile
 from tabloom.operators.rules import headers, near_duplicates
 from tabloom.plans.cleanse import Options, cleanse
 from tabloom.plans.recipe import Recipe, instruction, parse, report, run
@@ -105,6 +107,16 @@ def test_score_of_duplicates():
     assert score_table([Finding("remove-duplicate-rows", "error", 89, "")], 200, 100).composite == 40
 
 
+def test_personal_columns(spark):
+    data = from_text(spark, "First Name,Company Name,x,y,z,w\n" + "Ann,Acme,4111111111111111,AB123456C,4111111111111112,a@b.com\n" * 4)
+    found = personal_columns(data, profile(data, samples=False))
+    assert found == {"First Name": "names", "x": "payment card numbers", "y": "National Insurance numbers", "w": "email addresses"}
+    few = from_text(spark, "x\n4111111111111111\n4111111111111111\n")
+    assert personal_columns(few, profile(few, samples=False)) == {}
+    none = from_text(spark, "x,name\n")
+    assert personal_columns(none, profile(none, samples=False)) == {"name": "names"}
+
+
 def test_headers():
     assert headers((" Email ", "email", "")) == ["Email", "email (2)", "Column 3"]
 
