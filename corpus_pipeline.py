@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages; each works on all that its predecessor kept.
 
-Quality classifier: rows scored under the threshold go. SimHash near-duplicates: of each component the row with the smallest id stays. Suffix-array
-dedup: repeated strings of 200 bytes are cut out of the texts. Decontamination: documents that hold a benchmark item go. Packing: what
+Quality classifier: rows scored under the threshold go. Near-duplicates: of each component of texts with five-word Jaccard similarity of
+0.8 or more the row with the smallest id stays. Suffix-array dedup: repeated strings of 200 bytes are cut out of the texts. Decontamination: documents that hold a benchmark item go. Packing: what
 is left becomes sequences of 1024 tokens.
 
 All stages but the last return the columns of documents; n_chars follows the text.
@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import cut, table
+from tabloom.llm.common import cut, numbered, table
+from tabloom.llm.copies import copies
 from tabloom.llm.decontaminate import leaks
 from tabloom.llm.packing import pack
 from tabloom.llm.quality import score_quality
-from tabloom.llm.simhash import near_duplicates
 from tabloom.llm.suffixes import remove_repeats
 
 
@@ -27,9 +27,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_duplicates(docs)
-    drop = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    # op4's fingerprints can't tell all pairs of five-word similarity 0.8, so the pairs are found and decided by the shingles themselves
+    rows = numbered(docs)
+    roots = copies(rows.select("row_id", F.col("text").cast("binary").alias("body")))
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_id"))
+    marked = cut(rows.select("doc_id", "row_id").join(roots, "row_id").select("root", "row_id", place.alias("place")))
+    least = marked.groupBy("root").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "least")
+    drop = marked.join(least, "root").filter("place <> least").select("row_id")
+    return rows.join(drop, "row_id", "left_anti").select(*docs.columns)
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,14 @@ def identified(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ..
     return base.select("uid", "body"), base.select("uid", "doc_id", *carry) if carry else None
 
 
+def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with row_id long, which tells its rows apart: the id where no id is repeated or missing, and else a checkpointed number."""
+    ids = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    if ids.filter(F.col(id_col).isNull() | (F.col("n") > 1)).limit(1).count():
+        return cut(docs.withColumn("row_id", F.monotonically_increasing_id()))
+    return docs.withColumn("row_id", F.col(id_col).cast("long"))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list (a long, b long): rows (node, root), root the smallest node.
 
