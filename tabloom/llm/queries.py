@@ -56,6 +56,12 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(table(spark, sf_dir, "documents"))
 
 
+def op8_lines_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.lines import repeated_units
+
+    return repeated_units(table(spark, sf_dir, "documents"), least_chars=1)
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.chat import rotate
 
@@ -70,6 +76,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_quality, op3_licenses, op4_simhash, op5_decontamination, op6_language, op7_fingerprints, op8_lines, op9_chat, op10_suffix_dedup)
+    for f in (op1_packing, op2_quality, op3_licenses, op4_simhash, op5_decontamination, op6_language, op7_fingerprints, op8_lines, op8_lines_every, op9_chat, op10_suffix_dedup)
 }
-ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle(), "op8_lines": lines.oracle(), "op9_chat": chat.oracle()}
+ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle(), "op8_lines": lines.oracle(), "op8_lines_every": lines.oracle(least_chars=1), "op9_chat": chat.oracle()}
