@@ -1,8 +1,8 @@
 """License scans by canonical digest: a text is normalised as a whole, and the SHA-256 of the result is joined to known ones.
 
-Normal form, in this order: lower case; lines with a copyright notice dropped; equivalent spellings made one; all that is no letter or digit
-becomes one space; outer spaces dropped. The table of known licences is a parameter (name, text); the default holds short licences and
-notices. Its normal forms are made by the same expressions, so a text matches whatever its layout, punctuation and copyright holder.
+Normal form, in this order: lower case; copyright notices dropped; equivalent spellings made one; all that is no letter or digit
+becomes one space; outer spaces dropped. The table of known licences is a parameter (name, text); the default holds LICENSES and the
+files of license_texts. Its normal forms are made by the same expressions, so a text matches whatever its layout, punctuation and copyright holder.
 
 Nothing but the digests is compared; the known side is broadcast when counted under BROADCAST_ROWS.
 
@@ -12,6 +12,8 @@ give the alphabetically first; repeated rows each get a row; an empty table give
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +41,25 @@ LICENSES = {
 }
 
 
+#: What follows a copyright notice in a text without its line ends.
+STARTS = r"permission\s+(is|to)\b|redistribution\s+and\s+use|this\s+(software|program|library|work|file|is\s+free)\b|everyone\s+is\s+permitted|licensed\s+under|released\s+under|all\s+rights\s+reserved|do\s+what\s+the|[0-9]+\s+franklin\s+st|gnomovision\s+comes"
+#: A notice: copyright with a mark, a year or a placeholder anywhere; with a plain name at the start of a line or sentence or after a title.
+#: It ends with its line or sentence, or where the licence starts.
+NOTICE = (
+    r"(?:copyright\s+(?=\(c\)|©|<|\[|[0-9])|©|(?:(?<=^|\n|\n[ \t]{1,20}|[.;]\s{1,4}|license\s{1,4}))copyright[ \t]+(?=[\p{L}])"
+    r"(?!(?:notices?|holders?|owners?|laws?|licenses?|statements?|interests?|disclaimers?|permissions?|treaty|and|or|in|to|of|by|as|is|for|on|on-line|the\s+(?:software|library|program))\b))"
+    r"(?:(?!\s(?:" + STARTS + r"))(?!(?<!\b(?:inc|ltd|co|corp|llc|\p{L}))\.(?:\s|$))[^\n])*\.?"
+)
+
+
+def known_licenses() -> dict[str, str]:
+    """LICENSES and the texts in license_texts, by name."""
+    return LICENSES | {p.stem: p.read_text("utf-8") for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
+
+
 def normal(text: Column) -> Column:
     x = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    x = F.regexp_replace(x, r"(^|\n)[^\n]*(copyright +(\(c\)|©|<|[0-9])|©|all rights reserved)[^\n]*", "\n")
+    x = F.regexp_replace(F.regexp_replace(x, NOTICE, "\n"), r"all\s+rights\s+reserved", " ")
     for a, b in SPELLINGS:
         x = F.replace(x, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))
@@ -54,7 +72,7 @@ def digest(text: Column) -> Column:
 def scan(docs: DataFrame, known: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, digest, license), license null where the text is no known licence."""
     if known is None:
-        known = docs.sparkSession.createDataFrame(list(LICENSES.items()), "name string, text string")
+        known = docs.sparkSession.createDataFrame(list(known_licenses().items()), "name string, text string")
     table = known.select(F.col("name"), digest(F.col("text")).alias("digest")).filter(F.col("digest") != F.sha2(F.lit(b""), 256))
     table = table.groupBy("digest").agg(F.min("name").alias("license"))
     if table.count() <= BROADCAST_ROWS:
