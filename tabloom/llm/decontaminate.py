@@ -3,11 +3,10 @@ and an exact weighted-shingle similarity.
 
 Words are runs of letters and digits in lower case. An item is its words; a window is as many words of a document.
 
-1. Windows: each five-word shingle of a document that an item also has proposes the window of the item's size that is aligned
-   with it. A window with similarity of 0.8 or more shares most shingles with the item, so it is among these; windows that share
-   nothing with any item are never built.
-   Items' shingles are few; documents' are hashed in place and only those found leave the row. At most one window is proposed for each item,
-   start and document, so a passage that a third of all rows hold costs a row per row.
+1. Windows: each five-word shingle of a document that an item also has proposes every window of the item's size around it, and those are built
+   whose shared shingles weigh 0.8 of the item or more, as they must in a window of that similarity; so none is missed here.
+   Items' shingles are few; documents' are hashed in place and only those found leave the row, with the words around them. Found
+   shingles are gathered by document, item and stretch of two item sizes, so a document that repeats an item is no large group.
 2. SimHash: the window's words vote, each with its weight (its length in letters, up to 8), on 64 bits.
 3. Multi-index: fingerprints are cut in RADIUS + 1 = 21 blocks; two within 20 bits agree on a block. A window meets just the items with
    which it agrees on one, and is kept within 20 bits. Two texts at the similarity differ in 5 to 12 bits, short ones in a few more.
@@ -126,13 +125,47 @@ def similarity(wa: Column, wb: Column) -> Column:
     return let(shingles(wa), lambda a: let(shingles(wb), lambda b: jaccard(a, b)))
 
 
+def windows_of(hits: DataFrame, least: float) -> DataFrame:
+    """(doc_id, start_word, n, win, aligned): of shared shingles (doc_id, w, pos, n, item, places, wt, total) all windows that can reach the
+    similarity; aligned is the item where a shared shingle has the same place in both."""
+    size, n, pos = F.size("w"), F.col("n"), F.col("pos")
+    low = F.greatest(pos - (n - SHINGLE), F.lit(0))
+    high = F.greatest(F.least(pos, size - n), F.lit(0))
+    near = F.struct("pos", "wt", low.alias("low"), high.alias("high"), F.slice("w", low + 1, 2 * n).alias("near"), F.transform("places", lambda p: F.greatest(F.least(pos - p, size - n), F.lit(0))).alias("aligned"))
+    # a window starts in one stretch, and ends in it or the next
+    stretch = F.explode(F.array_distinct(F.array(F.floor(pos / (2 * n)), F.floor(low / (2 * n)))))
+    hits = hits.select("doc_id", F.xxhash64("w").alias("text"), "item", "n", "total", near.alias("x"), stretch.alias("stretch"))
+    # letters are whole numbers; half of one is room for rounding
+    need = F.col("total") * least - 0.5
+
+    def weight(inside) -> Column:
+        return F.aggregate("xs", F.lit(0), lambda t, x: t + F.when(inside(x), x["wt"]).otherwise(0))
+
+    def within(s: Column):
+        return lambda x: (x["pos"] >= s) & (x["pos"] <= s + n - SHINGLE)
+
+    groups = hits.groupBy("doc_id", "text", "item", "n", "total", "stretch").agg(F.collect_list("x").alias("xs"))
+    groups = groups.filter(weight(lambda x: F.lit(True)) >= need)
+    starts = F.array_distinct(F.flatten(F.transform("xs", lambda x: F.sequence(x["low"], x["high"]))))
+    starts = F.filter(starts, lambda s: (F.floor(s / (2 * n)) == F.col("stretch")) & (weight(within(s)) >= need))
+    found = groups.select("doc_id", "item", "n", "xs", F.explode(starts).alias("start_word"))
+    at = F.get(F.filter("xs", within(F.col("start_word"))), F.lit(0))
+    aligned = F.when(F.exists("xs", lambda x: F.array_contains(x["aligned"], F.col("start_word"))), F.col("item"))
+    return found.select("doc_id", "start_word", "n", F.slice(at["near"], F.col("start_word") - at["low"] + 1, n).alias("win"), aligned.alias("aligned"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """Rows (doc_id, item_id, similarity, start_word): each document and item that it holds, with the best window."""
+    """Rows (doc_id, item_id, similarity, start_word): each document and item that it holds, with the best aligned window of that
+    similarity, or the best of all where no aligned one has it."""
     bench = items.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("iw")).filter(F.size("iw") > 0)
     bench = cut(bench.select("item_id", "iw", F.size("iw").alias("n"), simhash(F.col("iw")).alias("ih")))
     short = bench.filter(F.col("n") < SHINGLE).count()
-    seeds = bench.filter(F.col("n") >= SHINGLE).select(F.posexplode(shingle_hashes(F.col("iw"))).alias("ipos", "h"), "n").distinct()
-    seeds = cut(seeds)
+    seeds = bench.filter(F.col("n") >= SHINGLE).select("iw", "n", F.posexplode(shingle_hashes(F.col("iw"))).alias("ipos", "h"))
+    # a shingle that an item repeats weighs as often as the item has it
+    wt = F.char_length(F.array_join(F.slice("iw", F.col("ipos") + 1, SHINGLE), ""))
+    whole = F.aggregate(shingles(F.col("iw")), F.lit(0), lambda t, s: t + F.char_length(F.translate(s, " ", "")))
+    seeds = seeds.select(F.xxhash64("iw").alias("item"), "n", "ipos", "h", wt.alias("wt"), whole.alias("total")).distinct()
+    seeds = cut(seeds.groupBy("item", "n", "h", "total").agg(F.sum("wt").cast("int").alias("wt"), F.collect_set("ipos").alias("places")))
     small = seeds.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda x: x)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -146,19 +179,17 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     else:
         hits = base.select("doc_id", "w", F.posexplode(shingle_hashes(F.col("w"))).alias("pos", "h"))
     hits = hits.join(hint(seeds), "h")
-    # the aligned window, and cut back to the document's ends
-    start = F.greatest(F.least(F.col("pos") - F.col("ipos"), F.size("w") - F.col("n")), F.lit(0))
-    windows = hits.select("doc_id", start.alias("start_word"), "n", F.slice("w", start + 1, F.col("n")).alias("win"))
+    windows = windows_of(hits, least)
     if short:
         # items under five words: every place of their first word proposes a window
         tiny = bench.filter(F.col("n") < SHINGLE).select(F.col("iw")[0].alias("first"), "n").distinct()
         spots = base.select("doc_id", "w", F.posexplode("w").alias("pos", "first")).join(hint(tiny), "first")
-        windows = windows.unionByName(spots.select("doc_id", F.col("pos").alias("start_word"), "n", F.slice("w", F.col("pos") + 1, F.col("n")).alias("win")))
-    windows = windows.dropDuplicates(["doc_id", "start_word", "n", "win"])
+        windows = windows.unionByName(spots.select("doc_id", F.col("pos").alias("start_word"), "n", F.slice("w", F.col("pos") + 1, F.col("n")).alias("win"), F.lit(None).cast("long").alias("aligned")))
+    windows = windows.groupBy("doc_id", "start_word", "n", "win").agg(F.collect_set("aligned").alias("aligned"))
     marked = cut(windows.withColumn("h", simhash(F.col("win")))).withColumn("key", F.explode(block_keys(F.col("h"))))
     index = bench.select("item_id", "iw", "ih", F.explode(block_keys(F.col("ih"))).alias("key"), F.col("n").alias("n_item"))
     near = F.bit_count(F.col("h").bitwiseXOR(F.col("ih"))) <= RADIUS
     met = marked.join(hint(index), (marked.key == index.key) & (F.col("n") == F.col("n_item")) & near)
-    scored = met.select("doc_id", "item_id", "start_word", similarity(F.col("win"), F.col("iw")).alias("similarity"))
-    best = F.max(F.struct("similarity", (-F.col("start_word")).alias("s"))).alias("best")
+    scored = met.select("doc_id", "item_id", "start_word", F.array_contains("aligned", F.xxhash64("iw")).alias("aligned"), similarity(F.col("win"), F.col("iw")).alias("similarity"))
+    best = F.max(F.struct("aligned", "similarity", (-F.col("start_word")).alias("s"))).alias("best")
     return scored.filter(F.col("similarity") >= least).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.s")).alias("start_word"))
