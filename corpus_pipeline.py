@@ -4,7 +4,8 @@ Quality classifier: rows scored under the threshold go. Near-duplicates: of each
 0.8 or more the row with the smallest id stays. Suffix-array dedup: repeated strings of 200 bytes are cut out of the texts. Decontamination: documents that hold a benchmark item go. Packing: what
 is left becomes sequences of 1024 tokens.
 
-All stages but the last return the columns of documents; n_chars follows the text.
+Rows go, not ids: with repeated or missing ids each row is judged by its own text, and of a component the row with the smallest (id, row
+number) stays, missing ids last. All stages but the last return the columns of documents; n_chars follows the text.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from tabloom.llm.quality import score_quality
 from tabloom.llm.suffixes import remove_repeats
 
 
+#: U+FFFD that the texts have is set aside while a cut's own are dropped.
+ESCAPES = [("\ufdd0", "\ufdd0a"), ("\ufffd", "\ufdd0b")]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = tuple(c for c in docs.columns if c != "doc_id")
     scored = score_quality(docs, table(spark, sf_dir, "labels"), keep=rest)
@@ -40,14 +45,21 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # a cut may split a character; what is left of it goes too
     kept = remove_repeats(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars")))
-    text = F.decode(F.call_function("make_valid_utf8", F.col("kept").cast("string")).cast("binary"), "UTF-8")
-    text = F.when(F.col("n_removed") > 0, F.replace(text, F.lit("�"), F.lit(""))).otherwise(F.col("kept").cast("string"))
+    text = F.col("kept").cast("string")
+    for a, b in ESCAPES:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    text = F.decode(F.call_function("make_valid_utf8", text).cast("binary"), "UTF-8")
+    text = F.replace(text, F.lit("\ufffd"), F.lit(""))
+    for a, b in reversed(ESCAPES):
+        text = F.replace(text, F.lit(b), F.lit(a))
+    text = F.when(F.col("n_removed") > 0, text).otherwise(F.col("kept").cast("string"))
     return kept.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    found = leaks(rows, table(spark, sf_dir, "benchmark"), id_col="row_id")
+    return rows.join(found.select(F.col("doc_id").alias("row_id")).distinct(), "row_id", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
