@@ -313,8 +313,9 @@ def dependencies(data: Dataset, prof: Profile) -> DataFrame:
     return sums.select(F.get(names, "pair").alias("p"), "supported", "paired", "violations").select("p.a", "p.b", "supported", "paired", "violations")
 
 
-def near_duplicates(data: Dataset, window: int = 8, most: int = 50_000) -> DataFrame:
-    """(_row, cluster): clusters of rows with equal fingerprints, or with fingerprints within the edit budget among 8 neighbours in two sort orders.
+def near_duplicates(data: Dataset, window: int = 8, most: int = 50_000, all_pairs: int = 500) -> DataFrame:
+    """(_row, cluster): clusters of rows with equal fingerprints, or with fingerprints within the edit budget: among all pairs up to 500 distinct
+    ones, and among 8 neighbours in two sort orders beyond.
 
     The typo pass is left out beyond 50,000 distinct fingerprints, as the operator's contract has it; equality always counts."""
     gone = duplicates(data).select(ROW)
@@ -325,24 +326,30 @@ def near_duplicates(data: Dataset, window: int = 8, most: int = 50_000) -> DataF
     prints = rows.select(ROW, full.alias("f"), context.alias("ctx")).groupBy("f").agg(F.min(ROW).alias("id"), F.min_by("ctx", ROW).alias("ctx"))
     members = rows.select(ROW, full.alias("f")).join(prints.select("f", "id"), "f")
     root: dict[int, int] = {}
-    if prints.count() <= most:
+    distinct = prints.count()
+    if distinct <= most:
         edges = []
-        for key in (F.col("ctx"), F.reverse("ctx")):
+        if distinct <= all_pairs:
+            other = prints.select(F.struct("id", "ctx").alias("o"))
+            edges.append(prints.join(F.broadcast(other), F.col("id") < F.col("o.id")))
+        for key in (F.col("ctx"), F.reverse("ctx")) if distinct > all_pairs else ():
             w = W.orderBy(key, "id").rowsBetween(1, window)
             near = prints.filter(F.char_length("ctx") >= 6).withColumn("next", F.collect_list(F.struct("id", "ctx")).over(w)).select("id", "ctx", F.explode("next").alias("o"))
-            short = F.least(F.char_length("ctx"), F.char_length("o.ctx"))
-            ok = (F.col("ctx") != F.col("o.ctx")) & (F.levenshtein("ctx", "o.ctx") <= X.edit_budget(short))
-            edges.append(near.filter(ok).select(F.col("id").alias("a"), F.col("o.id").alias("b")))
+            edges.append(near)
+        short = F.least(F.char_length("ctx"), F.char_length("o.ctx"))
+        ok = (short >= 6) & (F.col("ctx") != F.col("o.ctx")) & (F.levenshtein("ctx", "o.ctx") <= X.edit_budget(short))
+        edges = [near.filter(ok).select(F.col("id").alias("a"), F.col("o.id").alias("b")) for near in edges]
 
         def find(x: int) -> int:
             while root.setdefault(x, x) != x:
                 x = root[x]
             return x
 
-        # at most 16 edges for each of 50,000 fingerprints
-        for r in edges[0].unionByName(edges[1]).distinct().collect():
-            a, b = sorted((find(r.a), find(r.b)))
-            root[b] = a
+        # at most 16 edges for each of 50,000 fingerprints, or all pairs of 500
+        for near in edges:
+            for r in near.collect():
+                a, b = sorted((find(r.a), find(r.b)))
+                root[b] = a
     spark = data.df.sparkSession
     table = spark.createDataFrame([(k, (lambda x: x)(_find(root, k))) for k in root], "id long, top long")
     joined = members.join(table, "id", "left").select(ROW, F.coalesce("top", "id").alias("cluster"))
