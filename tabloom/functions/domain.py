@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabloom.functions.text import SPACE, clean_space, display_number, strip  # noqa: F401
+from tabloom.functions.text import SPACE, clean_space, digit, strip
 
 # Patterns of values.
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$"
@@ -37,7 +37,11 @@ def looks_like_date(x: Column) -> Column:
 
 def value_type(text: Column) -> Column:
     """The type that a value votes for; empty text for blanks."""
-    x = strip(text)
+    return vote(strip(text))
+
+
+def vote(x: Column) -> Column:
+    """value_type() of a trimmed text."""
     return (
         F.when(x == "", "empty")
         .when(x.rlike(EMAIL), "email")
@@ -53,57 +57,63 @@ def value_type(text: Column) -> Column:
 
 
 def whole_year(y: Column) -> Column:
-    return F.when(y >= 100, y).when(y >= 70, 1900 + y).otherwise(2000 + y)
+    return y + F.when(y >= 100, 0).when(y >= 70, 1900).otherwise(2000)
 
 
 def month_of(word: Column) -> Column:
     """1 to 12 for an English month's name, its first three letters or `sept`."""
-    w = F.lower(word)
-    out = F.lit(None).cast("int")
-    for i, (short, full) in enumerate(zip(MONTHS, MONTH_NAMES)):
-        out = F.when(w.isin([short, full] + (["sept"] if short == "sep" else [])), F.lit(i + 1)).otherwise(out)
-    return out
+    names = {n: i + 1 for i, pair in enumerate(zip(MONTHS, MONTH_NAMES)) for n in pair} | {"sept": 9}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.lower(word))
 
 
 def valid_date(y: Column, m: Column, d: Column) -> Column:
-    """The date, or null where there is no such day."""
-    text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
-    return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), text.try_cast("date"))
-
+    """The date, or null where there is no such day or a part is null."""
+    return F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"), F.lpad(d.cast("string"), 2, "0")).try_cast("date")
 
-def parse_date(text: Column, order: Column | str = "DMY") -> Column:
-    """Struct (date, ambiguous, swapped, converted) of a text in one of four shapes; date is null where there is none.
 
-    order is the order asked of numeric dates; the other one is tried where it gives no day."""
-    order = F.lit(order) if isinstance(order, str) else order
+def date_parts(text: Column) -> Column:
+    """Struct of what a text in one of the four shapes of dates holds; a column of its own where parse_parts() reads it."""
     x = strip(text)
 
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(x, pattern, group)
 
-    iso = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ](.*))?$"
-    iso_day = valid_date(part(iso, 1).try_cast("int"), part(iso, 2).try_cast("int"), part(iso, 3).try_cast("int"))
-    shifted = F.when(part(iso, 4).rlike(OFFSET), F.to_date(F.to_utc_timestamp(F.try_to_timestamp(strip(x)), "UTC")))
+    iso = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ].*)?$"
     num = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})$"
-    a, b = part(num, 1).try_cast("int"), part(num, 2).try_cast("int")
-    year = whole_year(part(num, 3).try_cast("int"))
-    dmy, mdy = valid_date(year, b, a), valid_date(year, a, b)
-    asked, other = F.when(order == "MDY", mdy).otherwise(dmy), F.when(order == "MDY", dmy).otherwise(mdy)
-    dm = r"^(\d{1,2})\s+([A-Za-z]{3,9})\.?,?\s+(\d{2,4})$"
-    md = r"^([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{2,4})$"
-    dm_day = valid_date(whole_year(part(dm, 3).try_cast("int")), month_of(part(dm, 2)), part(dm, 1).try_cast("int"))
-    md_day = valid_date(whole_year(part(md, 3).try_cast("int")), month_of(part(md, 1)), part(md, 2).try_cast("int"))
-    is_iso, is_num, is_dm, is_md = x.rlike(DATE_ISO), x.rlike(DATE_NUM), x.rlike(DATE_DAY_MONTH), x.rlike(DATE_MONTH_DAY)
-    date = F.when(is_iso, F.coalesce(shifted, iso_day)).when(is_num, F.coalesce(asked, other)).when(is_dm, dm_day).when(is_md, md_day)
-    no = F.lit(False)
+    words = r"^(?:(\d{1,2})\s+)?([A-Za-z]{3,9})\.?(?:(?<=[A-Za-z.])\s+(\d{1,2}))?,?\s+(\d{2,4})$"
+    is_dm, is_md = x.rlike(DATE_DAY_MONTH), x.rlike(DATE_MONTH_DAY)
+    number = lambda c: c.try_cast("int")
+    return F.struct(
+        F.when(x.rlike(DATE_ISO), "iso").when(x.rlike(DATE_NUM), "num").when(is_dm | is_md, "words").alias("shape"),
+        F.when(x.rlike(DATE_ISO), F.array(*[number(part(iso, k)) for k in (1, 2, 3)])).alias("iso"),
+        F.when(x.rlike(DATE_ISO) & F.regexp_extract(x, r"[T ](.*)$", 1).rlike(OFFSET), F.to_date(F.to_utc_timestamp(F.try_to_timestamp(x), "UTC"))).alias("shifted"),
+        F.when(x.rlike(DATE_NUM), F.array(*[number(part(num, k)) for k in (1, 2)], whole_year(number(part(num, 3))))).alias("num"),
+        F.when(is_dm | is_md, F.array(whole_year(number(part(words, 4))), month_of(part(words, 2)), number(F.when(is_dm, part(words, 1)).otherwise(part(words, 3))))).alias("words"),
+    )
+
+
+def parse_parts(p: Column, order: str = "DMY") -> Column:
+    """Struct (date, ambiguous, swapped, converted) of date_parts(); date is null where there is none.
+
+    order is the order asked of numeric dates; the other one is tried where it gives no day."""
+    iso, num, words = ([F.get(p[k], F.lit(i)) for i in range(3)] for k in ("iso", "num", "words"))
+    dmy, mdy = valid_date(num[2], num[1], num[0]), valid_date(num[2], num[0], num[1])
+    asked, other = (mdy, dmy) if order == "MDY" else (dmy, mdy)
+    is_num, no = p["shape"] == "num", F.lit(False)
+    date = F.when(p["shape"] == "iso", F.coalesce(p["shifted"], valid_date(*iso))).when(is_num, F.coalesce(asked, other)).when(p["shape"] == "words", valid_date(*words))
     return F.struct(
         date.alias("date"),
-        F.coalesce(is_num & (a <= 12) & (b <= 12) & (a != b), no).alias("ambiguous"),
+        F.coalesce(is_num & (num[0] <= 12) & (num[1] <= 12) & (num[0] != num[1]), no).alias("ambiguous"),
         F.coalesce(is_num & asked.isNull() & other.isNotNull(), no).alias("swapped"),
-        F.coalesce(is_iso & shifted.isNotNull(), no).alias("converted"),
+        p["shifted"].isNotNull().alias("converted"),
     )
 
 
+def parse_date(text: Column, order: str = "DMY") -> Column:
+    """Struct (date, ambiguous, swapped, converted) of a text in one of four shapes."""
+    return parse_parts(date_parts(text), order)
+
+
 def show_date(date: Column, style: str = "iso") -> Column:
     """iso 2024-01-31, uk 31/01/2024, us 01/31/2024."""
     return F.date_format(date, {"iso": "yyyy-MM-dd", "uk": "dd/MM/yyyy", "us": "MM/dd/yyyy"}[style])
@@ -149,9 +159,9 @@ def normal_postcode(text: Column) -> Column:
 def normal_vat(text: Column) -> Column:
     """GB and 9 or 12 digits whose weighted sum passes either modulus rule; null else."""
     d = F.regexp_replace(F.regexp_replace(F.upper(text), r"[\s-]", ""), r"^GB", "")
-    total = sum((F.substring(d, i + 1, 1).try_cast("int") * (8 - i) for i in range(7)), F.lit(0))
-    total = total + F.substring(d, 8, 2).try_cast("int")
-    return F.when(d.rlike(r"^(\d{9}|\d{12})$") & ((total % 97 == 0) | ((total + 55) % 97 == 0)), F.concat(F.lit("GB"), d))
+    total = sum((digit(d, i + 1) * (8 - i) for i in range(7)), F.lit(0)) + digit(d, 8) * 10 + digit(d, 9)
+    valid = F.when(d.rlike(r"^(\d{9}|\d{12})$"), (total % 97).isin(0, 42))  # 55 more would be divisible too
+    return F.when(valid, F.concat(F.lit("GB"), d))
 
 
 def normal_sort_code(text: Column) -> Column:

@@ -11,14 +11,52 @@ SPACE = r"[\s\x0B   -     　﻿]"
 INVISIBLE = r"[​‌‍﻿]"
 ODD_SPACE = r"[   -   　]"
 SENTINELS = ["na", "n/a", "n.a.", "#n/a", "#na", "null", "none", "nan", "nil", "-", "--"]
-#: The 27 characters that code page 1252 puts in 0x80-0x9F, and those bytes.
-CP1252 = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
-CP1252_BYTES = "".join(map(chr, [0x80, *range(0x82, 0x8D), 0x8E, *range(0x91, 0x9D), 0x9E, 0x9F]))
+# Bytes 0x80 to 0x9F of code page 1252 and the characters that they stand for.
+CP1252 = {
+    0x80: "€",
+    0x82: "‚",
+    0x83: "ƒ",
+    0x84: "„",
+    0x85: "…",
+    0x86: "†",
+    0x87: "‡",
+    0x88: "ˆ",
+    0x89: "‰",
+    0x8A: "Š",
+    0x8B: "‹",
+    0x8C: "Œ",
+    0x8E: "Ž",
+    0x91: "‘",
+    0x92: "’",
+    0x93: "“",
+    0x94: "”",
+    0x95: "•",
+    0x96: "–",
+    0x97: "—",
+    0x98: "˜",
+    0x99: "™",
+    0x9A: "š",
+    0x9B: "›",
+    0x9C: "œ",
+    0x9E: "ž",
+    0x9F: "Ÿ",
+}
+
+
+#: The characters of SPACE, for trimming, which needs no pattern.
+SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Texts without these have nothing to squeeze; nearly all cells end at this plain test.
+ODD_OR_DOUBLE = "[^!-~ ]|  "
 
 
 def strip(c: Column) -> Column:
     """Trims every kind of white space."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def squeeze(c: Column) -> Column:
+    """Runs of white space of every kind as one space."""
+    return F.when(c.rlike(ODD_OR_DOUBLE), F.regexp_replace(c, rf"{SPACE}+", " ")).otherwise(c)
 
 
 def cell_text(c: Column, kind: T.DataType) -> Column:
@@ -56,8 +94,8 @@ def is_missing(text: Column, string: bool = True) -> Column:
 
 def clean_space(text: Column) -> Column:
     """Invisible characters out, odd spaces plain, runs of space as one, outer ones off."""
-    x = F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), ODD_SPACE, " ")
-    return strip(F.regexp_replace(x, rf"{SPACE}+", " "))
+    full = F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), rf"{SPACE}+", " ")
+    return strip(F.when(text.rlike(ODD_OR_DOUBLE), full).otherwise(text))
 
 
 def has_invisible(text: Column) -> Column:
@@ -66,7 +104,7 @@ def has_invisible(text: Column) -> Column:
 
 def demojibake(text: Column) -> Column:
     """Text whose UTF-8 bytes were read as code page 1252, read again; the text itself where that does not hold."""
-    raw = F.translate(text, CP1252, CP1252_BYTES)
+    raw = F.translate(text, "".join(CP1252.values()), "".join(map(chr, CP1252)))
     latin = raw.rlike(r"^[\u0000-ÿ]*$") & text.rlike(r"[ÂÃà-ï]")
     data = F.encode(F.when(latin, raw), "ISO-8859-1")
     again = data.cast("string")
@@ -83,15 +121,19 @@ def number(text: Column) -> Column:
 
 def undecorated(text: Column) -> Column:
     """A number written with a currency sign, thousands commas or parentheses, as plain digits; null where that changes nothing."""
-    x = strip(text)
-    paren = x.rlike(r"^\(.*\)$")
-    x1 = strip(F.when(paren, F.regexp_replace(x, r"^\(|\)$", "")).otherwise(x))
-    minus = x1.startswith("-")
-    x2 = strip(F.when(minus, F.substring(x1, 2, 1 << 30)).otherwise(x1))
-    x3 = F.regexp_replace(x2, r"^([^£$€¥]*)[£$€¥]", "$1")
-    x4 = F.regexp_replace(F.replace(x3, F.lit(","), F.lit("")), rf"{SPACE}+", "")
-    out = F.concat(F.when(paren | minus, F.lit("-")).otherwise(F.lit("")), x4)
-    return F.when(x4.rlike(r"^\d+(\.\d+)?$") & (out != x), out)
+    return plain_number(clean_space(text))
+
+
+def plain_number(x: Column) -> Column:
+    """undecorated() of a text whose white space is clean.
+
+    Parentheses and a minus sign each turn the sign, so (-5) is 5; a space between digits makes no number."""
+    inner = F.trim(F.regexp_replace(x, r"^\((.*)\)$", "$1"))
+    body = F.regexp_replace(F.trim(F.regexp_replace(inner, "^-", "")), r"^([^£$€¥]*)[£$€¥]", "$1")
+    digits = F.trim(F.replace(body, F.lit(","), F.lit("")))
+    negative = x.rlike(r"^\(.*\)$") != x.rlike(r"^-|^\(\s?-.*\)$")
+    out = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), digits)
+    return F.when(digits.rlike(r"^\d+(\.\d+)?$") & (out != x), out)
 
 
 def numeric_value(c: Column, kind: T.DataType) -> Column:
@@ -106,34 +148,36 @@ def numeric_value(c: Column, kind: T.DataType) -> Column:
 
 
 def display_number(text: Column) -> Column:
-    """A number that may carry a currency sign, commas or a percent sign."""
-    x = F.regexp_replace(text, rf"[£$€,%]|{SPACE}", "")
-    return F.when(x != "", number(x))
+    """A number that may have a currency sign before it, commas in it and a percent sign after it."""
+    x = F.replace(F.regexp_replace(strip(text), r"^[£$€]\s?", ""), F.lit(","), F.lit(""))
+    x = F.regexp_replace(x, "%$", "")
+    return F.when(x.rlike(r"^-?\d+(\.\d+)?$"), x.try_cast("double"))
 
 
 def fingerprint(text: Column, letters_only: bool = False) -> Column:
-    """Lower-case tokens in sorted order."""
-    tokens = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}@]+"), lambda t: (t != "") & (t.rlike(r"^\p{L}+$") if letters_only else F.lit(True)))
+    """Lower-case tokens of a cleaned text in sorted order; letters_only leaves out tokens without a letter."""
+    tokens = F.filter(F.split(F.lower(clean_space(text)), r"[^\p{L}\p{N}@]+"), lambda t: (t != "") & (t.rlike(r"\p{L}") if letters_only else F.lit(True)))
     return F.array_join(F.array_sort(tokens), " ")
 
 
 def join_key(text: Column) -> Column:
     """Trimmed, inner white space as one space, lower case."""
-    return F.lower(F.regexp_replace(strip(text), rf"{SPACE}+", " "))
+    return F.lower(squeeze(strip(text)))
 
 
 def loose_key(text: Column) -> Column:
-    """Letters and digits only, without leading zeros."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", ""), r"^0+(?=.)", "")
+    """ASCII letters and digits only, without leading zeros."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]", ""), r"^0+(?=\d)", "")
 
 
 def relaxed_keys(key: Column) -> dict[str, Column]:
     """Repairs of a join key, by name, in the order in which they are tried."""
-    numeric = F.regexp_replace(key, ",", "")
+    value = number(F.replace(key, F.lit(","), F.lit("")))
+    value = F.when(strip(key) != "", F.when(value == 0, F.lit(0.0)).otherwise(value))
     return {
         "zero-padding": F.regexp_replace(key, r"\b0+(?=\d)", ""),
-        "numeric-format": F.when(numeric.rlike(r"^-?\d+\.\d+$"), F.regexp_replace(F.regexp_replace(numeric, r"0+$", ""), r"\.$", "")).otherwise(F.when(numeric.rlike(r"^-?\d+$"), numeric).otherwise(key)),
-        "punctuation": F.regexp_replace(key, r"[^\p{L}\p{N}]", ""),
+        "numeric-format": F.coalesce(value.cast("string"), key),
+        "punctuation": F.regexp_replace(key, r"[^a-zA-Z0-9]", ""),
     }
 
 
@@ -141,13 +185,19 @@ def luhn(text: Column) -> Column:
     """Whether 13 to 19 digits, spaces and hyphens aside, pass the Luhn check."""
     digits = F.regexp_replace(text, r"[\s-]", "")
     size = F.char_length(digits)
-    value = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
-        F.lit(0),
-        lambda s, i: s
-        + F.when((size - i) % 2 == 1, F.get(F.array(*[F.lit(x) for x in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]), F.substring(digits, i, F.lit(1)).try_cast("int"))).otherwise(F.substring(digits, i, F.lit(1)).try_cast("int")),
-    )
-    return digits.rlike(r"^\d{13,19}$") & (value % 10 == 0)
+    doubled = F.array(*[F.lit(x) for x in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)])
+
+    def add(total: Column, i: Column) -> Column:
+        d = digit(digits, i)
+        return total + F.when((size - i) % 2 == 1, F.get(doubled, d)).otherwise(d)
+
+    total = F.aggregate(F.sequence(F.lit(1), size), F.lit(0), add)
+    return F.when(digits.rlike(r"^\d{13,19}$"), total % 10 == 0).otherwise(F.lit(False))
+
+
+def digit(text: Column, place: Column | int) -> Column:
+    """The digit at a place from 1, of a text that has one there; a cast of what is none would throw and catch inside."""
+    return F.ascii(F.substring(text, place, F.lit(1) if isinstance(place, Column) else 1)) - 48
 
 
 def edit_budget(shorter: Column) -> Column:
