@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +15,38 @@ from tabloom.functions.text import cell_text
 ROW = "_row"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the checkpoint folder that the session names (spark.checkpoint.dir) and reads it from there.
+
+    A session on one machine without that setting, as in tests, gets a folder of its own; a cluster must name a shared one."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tabloom-ck-"))
+    return df.checkpoint(eager=True)
+
+
+def dense(df: DataFrame, *order: str | Column) -> DataFrame:
+    """df with _row, its place from 0 in the given order.
+
+    A range-partitioned sort, written once so that numbers can't change; only one count per partition reaches the driver."""
+    done = cut(df.orderBy(*order))
+    sizes = {r.p: r.n for r in done.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts = [0, *accumulate(sizes.get(p, 0) for p in range(max(sizes, default=0)))]
+    start = F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.spark_partition_id())
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return done.withColumn(ROW, start + within)
+
+
 @dataclass(frozen=True)
 class Dataset:
     df: DataFrame
     headers: tuple[str, ...]
     ragged_rows: int = 0
     kinds: tuple[T.DataType, ...] = field(default=())
+    base: Dataset | None = None  # the table without the working columns that rules added to df
 
     def __post_init__(self):
         if not self.kinds:
@@ -27,7 +55,8 @@ class Dataset:
 
     @staticmethod
     def of(df: DataFrame, order: str | list[str] | None = None, headers: list[str] | None = None) -> Dataset:
-        """Wraps a DataFrame. order: columns that number the rows; without it they are numbered in file order.
+        """Wraps a DataFrame. order: columns that number the rows; without it they are numbered in file order, which takes a df that reads files
+        (or a checkpoint) without a shuffle, as each evaluation must give the same numbers.
 
         A single integral order column is used as it is: only the order of row numbers matters to the operators."""
         names = list(headers or df.columns)
@@ -35,11 +64,15 @@ class Dataset:
         if isinstance(order, str) and isinstance(df.schema[order].dataType, (T.LongType, T.IntegerType)):
             return Dataset(df.select(*cols, F.col(f"`{order}`").cast("long").alias(ROW)), tuple(names))
         keys = [order] if isinstance(order, str) else order
-        source = df.orderBy(*keys) if keys else df
-        # zipWithIndex numbers partitions in order: counts per partition, no row goes to one place
-        schema = T.StructType([*[T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(df.schema)], T.StructField(ROW, T.LongType(), False)])
-        numbered = df.sparkSession.createDataFrame(source.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
-        return Dataset(numbered, tuple(names))
+        if keys:
+            return Dataset(dense(df, *keys).select(*cols, ROW), tuple(names))
+        # unique and in the order of files and their rows; gaps between partitions do no harm
+        return Dataset(df.select(*cols, F.monotonically_increasing_id().alias(ROW)), tuple(names))
+
+    @property
+    def plain(self) -> Dataset:
+        """The table that plans should start from which need no working columns: the optimizer's work grows with those."""
+        return self.base or self
 
     def __len__(self) -> int:
         return len(self.headers)

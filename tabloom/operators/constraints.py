@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.dataset import ROW, Dataset
-from tabloom.functions.text import SPACE, is_empty, number, strip
+from tabloom.functions.text import SPACE, is_empty, is_missing, number, strip
 from tabloom.operators.profile import Profile
 from tabloom.plans.score import Finding
 
@@ -86,20 +86,46 @@ def check(data: Dataset, constraints: tuple[Constraint, ...] | list[Constraint])
     return [out[k] for k in sorted(out)]
 
 
+# Fixed value: words in headers that tell identifiers.
+ID_WORDS = r"(?i)(^|[^a-z])(id|ids|ref|reference|code|sku|key|account|acct|no|number)([^a-z]|$)"
+
+
 def suggest(data: Dataset, prof: Profile, known: tuple[Constraint, ...] = (), most: int = 5) -> list[Constraint]:
-    """Constraints that the data already keep: unique identifiers, small sets of values, and complete columns."""
-    out: list[Constraint] = []
+    """Constraints that the data already keep, up to `most`; a column may give several.
+
+    unique: an identifier or e-mail column with 10 values or more, all distinct, 90 % filled. allowed-values: 2 to 6 values of text or
+    booleans, without regard to case, three rows a value. not-null: an identifier or e-mail column without gaps."""
     have = {(c.kind, c.column) for c in known}
     if prof.rows < 10:
-        return out
+        return []
+    out: list[Constraint] = []
+    small = [c for c in prof.columns if c.type in ("string", "boolean") and 2 <= c.distinct <= 6 and c.non_empty >= 3 * c.distinct]
+    shown = _first_spellings(data, [c.index for c in small])
     for c in prof.columns:
-        idish = re.search(r"(?i)(^|[^a-z])(id|ids|ref|reference|code|sku|key|account|acct|no|number)([^a-z]|$)", c.name)
-        if idish and c.empty == 0 and c.distinct == prof.rows and ("unique", c.name) not in have:
-            out.append(Constraint("unique", c.name))
-        elif c.type == "string" and 2 <= c.distinct <= 8 and c.non_empty >= 5 * c.distinct and ("allowed-values", c.name) not in have:
-            v = strip(data.text(c.index))
-            rows = data.df.select(v.alias("v"), ROW).filter("v <> ''").groupBy("v").agg(F.min(ROW).alias("f")).orderBy("f").limit(16).collect()
-            out.append(Constraint("allowed-values", c.name, values=tuple(r.v for r in rows)))
-        elif c.empty == 0 and ("not-null", c.name) not in have:
-            out.append(Constraint("not-null", c.name))
+        keyish = c.type == "email" or re.search(ID_WORDS, c.name)
+        found = []
+        if keyish and c.non_empty >= 10 and c.distinct == c.non_empty >= 0.9 * prof.rows:
+            found.append(Constraint("unique", c.name))
+        if c in small:
+            found.append(Constraint("allowed-values", c.name, values=shown.get(c.index, ())))
+        if keyish and c.empty == 0 and c.non_empty >= 10:
+            found.append(Constraint("not-null", c.name))
+        for x in found:
+            if (x.kind, x.column) not in have:
+                have.add((x.kind, x.column))
+                out.append(x)
     return out[:most]
+
+
+def _first_spellings(data: Dataset, columns: list[int]) -> dict[int, tuple[str, ...]]:
+    """For columns of a few values, each value as first written, in order of first sight. One job."""
+    if not columns:
+        return {}
+    cells = F.array(*[F.when(~is_missing(data.text(i)), F.struct(F.lit(i).alias("at"), strip(data.text(i)).alias("v"))) for i in columns])
+    long = data.df.select(ROW, F.inline(F.filter(cells, lambda x: x.isNotNull())))
+    first = long.groupBy("at", F.lower("v").alias("k")).agg(F.min_by("v", ROW).alias("v"), F.min(ROW).alias("first"))
+    # six rows a column at most, as their profiles say
+    out: dict[int, tuple[str, ...]] = {}
+    for r in sorted(first.collect(), key=lambda r: (r["at"], r["first"])):
+        out[r["at"]] = (*out.get(r["at"], ()), r["v"])
+    return out

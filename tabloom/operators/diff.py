@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.dataset import ROW, Dataset
+from tabloom.dataset import ROW, Dataset, dense
 from tabloom.functions.text import is_empty, strip
 from tabloom.operators.join import ID_WORDS
 
@@ -58,9 +58,17 @@ def diff_tables(before: Dataset, after: Dataset, key: str | None = None) -> Diff
         if key:
             x = F.lower(strip(F.col(f"{name}{shared.index(key)}")))
             return out.withColumn(f"{name}_key", F.when(x != "", x))
-        # position: the dense rank of the row number is the number itself
         return out.withColumn(f"{name}_key", F.col(f"{name}_row"))
 
+    def placed(d: Dataset) -> Dataset:
+        """Rows numbered from 0 without gaps: by position, the n-th row of one table is held against the n-th of the other."""
+        low, high, n = d.df.agg(F.min(ROW), F.max(ROW), F.count(F.lit(1))).first()
+        if not n or (low == 0 and high == n - 1):
+            return d
+        return d.with_(d.df.withColumn(ROW, F.col(ROW) - low) if high - low == n - 1 else dense(d.df, ROW))
+
+    if not key:
+        before, after = placed(before), placed(after)
     b, a = side(before, "b"), side(after, "a")
     if key:
         packed = F.struct(*[c for c in b.columns if c != "b_key"])

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.dataset import ROW, Dataset
+from tabloom.dataset import ROW, Dataset, dense
 from tabloom.functions.text import is_missing, join_key, loose_key, relaxed_keys, strip
 
 TYPES = {"inner": "inner", "left": "left", "full": "full"}
@@ -19,6 +19,8 @@ ID_WORDS = r"(?i)(^|[^a-z])(id|ids|uid|ref|reference|code|sku|key|account|acct|n
 
 @dataclass(frozen=True)
 class Joined:
+    """table: the joined rows with _lrow and _rrow, which order them, and without row numbers; numbered() gives it those."""
+
     table: Dataset
     left: DataFrame  # _row, key columns, usable
     right: DataFrame
@@ -26,6 +28,15 @@ class Joined:
     kind: str
     error: str | None = None
 
+    def numbered(self) -> Dataset:
+        """The table with dense row numbers in the order of (left row, right row), rows of the right alone last.
+
+        Every operator that tells rows apart needs these; the joined rows are sorted and written once for them."""
+        if self.error:
+            return self.table
+        rows = dense(self.table.df, F.col("_lrow").asc_nulls_last(), F.col("_rrow").asc_nulls_first())
+        return self.table.with_(rows.drop("_lrow", "_rrow"))
+
     def provenance(self) -> dict:
         """Matched left rows by how they match: exactly, but for white space, or but for case."""
         hits = self._hits().agg(F.max("exact").alias("e"), F.max("spaced").alias("s"))
@@ -173,7 +184,17 @@ def join_tables(left: Dataset, right: Dataset, kind: str = "left", keys: list[tu
     headers = [h + suffixes[0] if h in other else h for h in left.headers] + [right.headers[j] + (suffixes[1] if right.headers[j] in taken else "") for j in rest]
     n = range(len(at))
     rr = r.select(*[F.col(f"c{j}").alias(f"r{j}") for j in range(len(right))], F.col(ROW).alias("_rrow"), *[F.col(f"k{i}").alias(f"rk{i}") for i in n])
-    both = l.join(rr, [F.col(f"k{i}") == F.col(f"rk{i}") for i in n], TYPES[kind])
+    ll = l
+
+    def lone(key: Column, side: str, row: str) -> Column:
+        # a row without a key stays in an outer join; a key of its own keeps all such rows out of one task, and matches nothing
+        return F.coalesce(key, F.concat(F.lit("\u0000" + side), F.col(row).cast("string")))
+
+    if kind != "inner":
+        ll = ll.withColumns({f"k{i}": lone(F.col(f"k{i}"), "l", ROW) for i in n})
+    if kind == "full":
+        rr = rr.withColumns({f"rk{i}": lone(F.col(f"rk{i}"), "r", "_rrow") for i in n})
+    both = ll.join(rr, [F.col(f"k{i}") == F.col(f"rk{i}") for i in n], TYPES[kind])
     cols = []
     for i in range(len(left)):
         if kind == "full" and i in lk:
@@ -185,6 +206,5 @@ def join_tables(left: Dataset, right: Dataset, kind: str = "left", keys: list[tu
         else:
             cols.append(F.col(f"c{i}"))
     cols += [F.col(f"r{j}").alias(f"c{len(left) + p}") for p, j in enumerate(rest)]
-    # the order of the result is (left row, right row), left-less rows last; it is kept as sort keys, not as a dense number
-    out = both.select(*cols, F.coalesce(F.col(ROW), F.lit((1 << 62))).alias(ROW), F.col("_rrow"))
+    out = both.select(*cols, F.col(ROW).alias("_lrow"), "_rrow")
     return Joined(Dataset(out, tuple(headers)), l, r, tuple(keys), kind)

@@ -1,4 +1,4 @@
-"""Column profiles: one aggregate over the whole table gives counts, type votes and what the rules' gates need."""
+"""Column profiles: one job over the whole table gives counts, type votes and what the rules' gates need."""
 
 from __future__ import annotations
 
@@ -10,12 +10,10 @@ from pyspark.sql import types as T
 
 from tabloom.dataset import ROW, Dataset
 from tabloom.functions import domain as D
-from tabloom.functions.text import display_number, is_empty, is_missing, is_sentinel, strip
+from tabloom.functions.text import clean_space, display_number, is_empty, is_missing, is_sentinel, plain_number, strip
 
 #: Share of the votes that makes a type.
 MAJORITY = 0.6
-#: Columns of one aggregate; wider tables take several, so that generated code stays within bounds.
-CHUNK = 12
 
 
 @dataclass(frozen=True)
@@ -39,72 +37,71 @@ class Profile:
     blank_rows: int = 0
 
 
-def _prepared(data: Dataset, columns: range) -> DataFrame:
-    """Each column's trimmed text x, its vote and what counts as filled, worked out once; the aggregate reads these."""
-    out = [F.col(ROW)]
+def _values(data: Dataset) -> DataFrame:
+    """(at, text, n, first): each column's distinct texts, how often and where first; column -1 has "" for each row without any text.
+
+    Long form, so that the plan is as small for a hundred columns as for one, and so that patterns run once a distinct text."""
     blank = F.lit(True)
     for i in range(len(data)):
         blank = blank & is_empty(data.text(i))
-    for i in columns:
-        text, string = data.text(i), data.is_string(i)
-        filled = ~is_missing(text, string)
-        out += [strip(text).alias(f"x{i}"), filled.alias(f"filled{i}"), F.when(filled, D.value_type(text)).alias(f"vote{i}"), (is_sentinel(text) & F.lit(string)).alias(f"sentinel{i}"), display_number(text).isNotNull().alias(f"number{i}")]
-    return data.df.select(*out, blank.alias("blank"))
-
-
-def _measures(i: int) -> list:
-    x, filled, vote = F.col(f"x{i}"), F.col(f"filled{i}"), F.col(f"vote{i}")
-    present = x != ""
-    out = [
-        F.count_if(filled).alias(f"filled_{i}"),
-        F.count_if(present).alias(f"present_{i}"),
-        F.count_if(F.col(f"sentinel{i}")).alias(f"sentinels_{i}"),
-        F.count_distinct(F.when(filled, F.lower(x))).alias(f"distinct_{i}"),
-    ]
-    out += [F.count_if(vote == t).alias(f"vote_{t}_{i}") for t in D.TYPES]
-    numeric = present & (F.col(f"number{i}") | x.rlike(r"^\(?[£$€¥]?\s?-?[\d,]+(\.\d+)?\)?%?$"))
-    word, num = F.lower(x), r"^(\d{1,2})[/\-.](\d{1,2})[/\-.]\d{2,4}$"
-    a, b = F.regexp_extract(x, num, 1).try_cast("int"), F.regexp_extract(x, num, 2).try_cast("int")
-    out += [
-        F.count_if(numeric).alias(f"numeric_{i}"),
-        F.count_if(word.isin(D.TRUE_WORDS + D.FALSE_WORDS)).alias(f"bool_words_{i}"),
-        F.count_if(word.isin(D.TRUE_WORDS + D.FALSE_WORDS + ["1", "0"])).alias(f"bool_all_{i}"),
-        F.count_if((a > 12) & (b <= 12)).alias(f"dmy_{i}"),
-        F.count_if((b > 12) & (a <= 12)).alias(f"mdy_{i}"),
-        F.count_if(filled & D.looks_like_date(x)).alias(f"dates_{i}"),
-        F.count_if(filled & x.rlike(r"^\d+$")).alias(f"digits_{i}"),
-        F.min_by(F.char_length(x), F.when(filled & x.rlike(r"^0\d+$"), F.col(ROW))).alias(f"zero_len_{i}"),
-        F.count_if(filled & x.rlike(D.EXCEL_DATE)).alias(f"excel_date_{i}"),
-        F.count_if(filled & x.rlike(D.EXCEL_POWER)).alias(f"excel_power_{i}"),
-        F.count_if(filled & x.rlike(D.NATIONAL_INSURANCE)).alias(f"insurance_{i}"),
-        F.count_if(filled & x.rlike(D.CARD_SHAPE)).alias(f"card_shape_{i}"),
-    ]
-    return out
+    cells = [F.struct(F.lit(-1).alias("at"), F.when(blank, "").otherwise("x").alias("text"))]
+    cells += [F.struct(F.lit(i).alias("at"), data.text(i).alias("text")) for i in range(len(data))]
+    return data.df.select(ROW, F.inline(F.array(*cells))).groupBy("at", "text").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first"))
+
+
+def _measured(data: Dataset) -> dict[int, dict]:
+    """Of each column, what the profile and the rules' gates need, by name."""
+    string = F.col("at").isin([i for i in range(len(data)) if data.is_string(i)])
+    sentinel = is_sentinel(F.col("text")) & string
+    values = _values(data).withColumns({"x": strip(F.col("text")), "sentinel": sentinel})
+    values = values.withColumns({"tidy": clean_space(F.col("x")), "present": F.col("x") != "", "filled": (F.col("x") != "") & ~F.col("sentinel"), "word": F.lower("x")})
+    x, word, present, filled = F.col("x"), F.col("word"), F.col("present"), F.col("filled")
+    num = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.]\d{2,4}$"
+    values = values.withColumns({"vote": F.when(filled, D.vote(x)), "a": F.when(x.rlike(num), F.regexp_extract(x, num, 1).cast("int")), "b": F.when(x.rlike(num), F.regexp_extract(x, num, 2).cast("int")), "bools": word.isin(D.TRUE_WORDS + D.FALSE_WORDS)})
+    first, last = F.col("a"), F.col("b")
+    kinds = {
+        "rows": F.lit(True),
+        "filled": filled,
+        "present": present,
+        "sentinels": F.col("sentinel"),
+        **{f"vote_{t}": F.col("vote") == t for t in D.TYPES},
+        "numeric": present & (x.rlike(r"^-?\d+(\.\d+)?$") | plain_number(F.col("tidy")).isNotNull()),
+        "numbers": filled & display_number(x).isNotNull(),
+        "bool_words": F.col("bools"),
+        "bool_all": F.col("bools") | word.isin(["1", "0"]),
+        "dmy": (first > 12) & (last <= 12),
+        "mdy": (last > 12) & (first <= 12),
+        "dates": filled & D.looks_like_date(x),
+        "digits": filled & x.rlike(r"^\d+$"),
+        "excel_date": filled & x.rlike(D.EXCEL_DATE),
+        "excel_power": filled & x.rlike(D.EXCEL_POWER),
+        "insurance": filled & x.rlike(D.NATIONAL_INSURANCE),
+        "card_shape": filled & x.rlike(D.CARD_SHAPE),
+    }
+    out = [F.sum(F.when(c, F.col("n")).otherwise(0)).alias(k) for k, c in kinds.items()]
+    out.append(F.min_by(F.char_length(x), F.when(filled & x.rlike(r"^0\d+$"), F.col("first"))).alias("zero_len"))
+    out.append(F.count_distinct(F.when(filled, word)).alias("distinct"))
+    return {r["at"]: r.asDict() for r in values.groupBy("at").agg(*out).collect()}
 
 
 def profile(data: Dataset, samples: bool = True) -> Profile:
     """Votes of all values that are neither blank nor sentinels; the type with 60 % of them wins, else `mixed`."""
-    width, got = len(data), {}
-    for lo in range(0, width, CHUNK):
-        part = range(lo, min(lo + CHUNK, width))
-        exprs = [F.count(F.lit(1)).alias("rows"), F.count_if("blank").alias("blank_rows")]
-        for i in part:
-            exprs += _measures(i)
-        got |= _prepared(data, part).agg(*exprs).first().asDict()
+    width, got = len(data), _measured(data)
     shown: dict[int, list[str]] = {i: [] for i in range(width)}
     if samples:
         for i in range(width):
             few = data.df.filter(~is_missing(data.text(i), data.is_string(i))).select(ROW, data.text(i).alias("v")).orderBy(ROW).limit(5)
             shown[i] = [r.v for r in few.collect()]
     out = []
+    rows = got[-1]["rows"] if got else 0
     for i, name in enumerate(data.headers):
-        votes = {t: got[f"vote_{t}_{i}"] for t in D.TYPES}
-        n = got[f"filled_{i}"]
+        facts = got.get(i) or dict.fromkeys([*(f"vote_{t}" for t in D.TYPES), "filled", "sentinels", "distinct", "present", "numeric", "numbers", "bool_words", "bool_all", "dmy", "mdy", "dates", "digits", "excel_date", "excel_power", "insurance", "card_shape"], 0) | {"zero_len": None}
+        votes = {t: facts[f"vote_{t}"] for t in D.TYPES}
+        n = facts["filled"]
         best = max(D.TYPES, key=lambda t: votes[t])
         kind = "empty" if not n else best if votes[best] >= MAJORITY * n else "mixed"
-        facts = {k.rsplit("_", 1)[0]: v for k, v in got.items() if k.endswith(f"_{i}")}
-        out.append(ColumnProfile(name, i, kind, int(votes[best] / n * 1000 + 0.5) / 1000 if n else 0.0, n, got["rows"] - n, got[f"sentinels_{i}"], got[f"distinct_{i}"], tuple(shown[i]), facts))
-    return Profile(got.get("rows", 0), tuple(out), got.get("blank_rows", 0))
+        out.append(ColumnProfile(name, i, kind, int(votes[best] / n * 1000 + 0.5) / 1000 if n else 0.0, n, rows - n, facts["sentinels"], facts["distinct"], tuple(shown[i]), facts))
+    return Profile(rows, tuple(out), got[-1]["rows"] - got[-1]["present"] if got else 0)
 
 
 def profile_frame(data: Dataset) -> DataFrame:

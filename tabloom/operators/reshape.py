@@ -77,7 +77,7 @@ class Search:
 
 
 def _columns(data: Dataset, s: Search) -> list[int]:
-    return [i for i in range(len(data)) if data.is_string(i) and (s.column is None or s.column == i)] if s.find else []
+    return [i for i in range(len(data)) if s.column is None or s.column == i] if s.find else []
 
 
 def replaced(data: Dataset, s: Search, i: int):
@@ -87,7 +87,7 @@ def replaced(data: Dataset, s: Search, i: int):
 
 
 def find_replace(data: Dataset, s: Search) -> DataFrame:
-    """Replacements as rows (_row, column, before, after), literal and by default without regard to case."""
+    """Replacements as rows (_row, column, before, after) in the text of all cells, numbers too; literal and by default without regard to case."""
     cells = [F.when(data.col(i).isNotNull(), F.struct(F.lit(i).alias("column"), data.text(i).alias("before"), replaced(data, s, i).alias("after"))) for i in _columns(data, s)]
     if not cells:
         return data.df.select(ROW, F.lit(0).alias("column"), F.lit("").alias("before"), F.lit("").alias("after")).limit(0)
@@ -97,7 +97,12 @@ def find_replace(data: Dataset, s: Search) -> DataFrame:
 
 def apply_replace(data: Dataset, s: Search) -> Dataset:
     at = set(_columns(data, s))
-    return _with_columns(data, [(h, F.when(data.col(i).isNotNull(), replaced(data, s, i)) if i in at else data.col(i)) for i, h in enumerate(data.headers)])
+
+    def cell(i: int):
+        # a column that is not text becomes text, as a replacement may be any
+        return F.when(data.col(i).isNotNull(), replaced(data, s, i)) if i in at else data.col(i)
+
+    return _with_columns(data, [(h, cell(i)) for i, h in enumerate(data.headers)])
 
 
 def apply_edits(data: Dataset, edits: DataFrame) -> Dataset:

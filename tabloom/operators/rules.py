@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tabloom.dataset import ROW, Dataset
+from tabloom.dataset import ROW, Dataset, cut, dense
 from tabloom.functions import domain as D
 from tabloom.functions import text as X
+from tabloom.operators.components import components
 from tabloom.operators.profile import Profile
 
 #: Distinct values from which on a column is free text for the spelling rule.
@@ -57,21 +58,14 @@ def headers(names: tuple[str, ...]) -> list[str]:
     return out
 
 
-def winners(data: Dataset, columns: list[int], key, variant, quality) -> DataFrame:
-    """(at, key, winner): the commonest variant of each key with several; ties by quality, then by first row.
-
-    Long form: one aggregate for all columns, with map-side combine."""
+def _spellings(data: Dataset, families: list[tuple[str, list[int], object]]) -> DataFrame:
+    """(_row, name, key, variant) of the cells that vote; families: (name, columns, key of a text)."""
     cells = []
-    for i in columns:
-        text = data.text(i)
-        ok = ~X.is_missing(text)
-        cells.append(F.when(ok, F.struct(F.lit(i).alias("at"), key(text).alias("key"), variant(text).alias("variant"))))
-    if not cells:
-        return data.df.sparkSession.createDataFrame([], "at int, key string, winner string")
-    long = data.df.select(ROW, F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull())))
-    counts = long.groupBy("at", "key", "variant").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first"))
-    best = F.max_by("variant", F.struct("n", quality(F.col("variant")).alias("q"), (-F.col("first")).alias("f")))
-    return counts.groupBy("at", "key").agg(best.alias("winner"), F.count(F.lit(1)).alias("variants"), F.count_distinct(F.lower("variant")).alias("folded"))
+    for family, columns, key in families:
+        for i in columns:
+            text = data.text(i)
+            cells.append(F.when(~X.is_missing(text), F.struct(F.lit(f"{family}{i}").alias("name"), key(text).alias("key"), X.clean_space(text).alias("variant"))))
+    return data.df.select(ROW, F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull())))
 
 
 def case_quality(x: Column) -> Column:
@@ -79,13 +73,25 @@ def case_quality(x: Column) -> Column:
     return F.when(upper & lower, 2).when(upper, 1).otherwise(0)
 
 
-def _attach(data: Dataset, table: DataFrame, columns: list[int], key, name: str) -> tuple[Dataset, dict[int, Column]]:
-    """Adds, for each column, the winner of its key: one join a column, broadcast by size where Spark sees it is small."""
-    df = data.df
-    for i in columns:
-        part = table.filter(F.col("at") == i).select(F.col("key").alias(f"_k_{name}_{i}"), F.col("winner").alias(f"_w_{name}_{i}"))
-        df = df.join(part, key(data.text(i)) == F.col(f"_k_{name}_{i}"), "left").drop(f"_k_{name}_{i}")
-    return Dataset(df, data.headers, data.ragged_rows, data.kinds), {i: F.col(f"_w_{name}_{i}") for i in columns}
+def with_winners(data: Dataset, case: list[int], value: list[int]) -> Dataset:
+    """The table with _win, a map from "case" or "value" and a column's number to the spelling that this row's cell should have.
+
+    Of each key (case: the text in lower case; value: its fingerprint) the commonest variant wins; ties by casing, then by first row. Long
+    form for all columns: one aggregate with map-side combine, one join on keys that have several variants, and one join back of the
+    cells that differ from their winner."""
+    families = [("case", case, lambda t: F.lower(X.clean_space(t))), ("value", value, X.fingerprint)]
+    if not case and not value:
+        return data
+    votes = _spellings(data, families).filter("key <> ''")
+    counts = votes.groupBy("name", "key", "variant").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first"))
+    quality = F.when(F.col("name").startswith("case"), case_quality(F.col("variant"))).otherwise(0)
+    best = F.max_by("variant", F.struct("n", quality.alias("q"), (-F.col("first")).alias("f")))
+    won = counts.groupBy("name", "key").agg(best.alias("winner"), F.count(F.lit(1)).alias("variants"), F.min(F.lower("variant")).alias("lo"), F.max(F.lower("variant")).alias("hi"))
+    # variants that differ in case alone are no matter for the value family
+    won = won.filter((F.col("name").startswith("case") & (F.col("variants") > 1)) | (F.col("name").startswith("value") & (F.col("lo") < F.col("hi")))).select("name", "key", "winner")
+    other = votes.join(won, ["name", "key"]).filter("variant <> winner")
+    packed = other.groupBy(ROW).agg(F.map_from_entries(F.collect_list(F.struct("name", "winner"))).alias("_win"))
+    return Dataset(data.df.join(packed, ROW, "left"), data.headers, data.ragged_rows, data.kinds)
 
 
 def boolean_winners(data: Dataset, columns: list[int]) -> dict[int, tuple[str, str]]:
@@ -109,7 +115,7 @@ def build(data: Dataset, prof: Profile, disabled: frozenset[str] = frozenset(),
     """The table with the winners it needs, and every fix and flag that its columns' gates let through."""
     fixes: list[Fix] = []
     flags: list[Flag] = []
-    one = F.lit
+    one, plain = F.lit, data.plain
     strings = [c for c in prof.columns if data.is_string(c.index)]
     wordy = [c.index for c in strings if c.type in ("string", "mixed")]
 
@@ -117,24 +123,19 @@ def build(data: Dataset, prof: Profile, disabled: frozenset[str] = frozenset(),
         return rule not in disabled
 
     case_at = wordy if on("consistent-casing") else []
-    lower_clean = lambda t: F.lower(X.clean_space(t))
-    case_win: dict[int, Column] = {}
-    if case_at:
-        table = winners(data, case_at, lower_clean, X.clean_space, case_quality).filter("variants > 1")
-        data, case_win = _attach(data, table, case_at, lower_clean, "case")
     value_at = [i for i in wordy if prof.columns[i].distinct <= MOST_DISTINCT] if on("standardise-values") else []
-    value_win: dict[int, Column] = {}
-    if value_at:
-        table = winners(data, value_at, X.fingerprint, X.clean_space, lambda v: F.lit(0)).filter("folded > 1 and key <> ''")
-        data, value_win = _attach(data, table, value_at, X.fingerprint, "value")
+    data = with_winners(data, case_at, value_at)
+    case_win = {i: F.element_at("_win", F.lit(f"case{i}")) for i in case_at}
+    value_win = {i: F.element_at("_win", F.lit(f"value{i}")) for i in value_at}
     bool_at = [c.index for c in prof.columns if c.facts["bool_words"] and c.facts["present"] >= 3 and c.facts["bool_all"] >= 0.8 * c.facts["present"]] if on("normalize-boolean") else []
     spelled = boolean_winners(data, bool_at)
 
     # what several expressions read becomes a column of its own, so that it is worked out, and compiled, once
-    held: dict[str, Column] = {}
+    held: list[dict[str, Column]] = [{}, {}, {}]
 
-    def hold(expr: Column, tag: str, i: int) -> Column:
-        held[f"_h_{tag}_{i}"] = expr
+    def hold(expr: Column, tag: str, i: int, level: int = 0) -> Column:
+        """level: one more than that of what expr reads."""
+        held[level][f"_h_{tag}_{i}"] = expr
         return F.col(f"_h_{tag}_{i}")
 
     for c in prof.columns:
@@ -161,38 +162,41 @@ def build(data: Dataset, prof: Profile, disabled: frozenset[str] = frozenset(),
             dmy, mdy = c.facts["dmy"], c.facts["mdy"]
             mixed = date_order == "auto" and dmy > 0 and mdy > 0
             order = date_order if date_order != "auto" else "MDY" if mdy > dmy else "DMY"
-            got = hold(D.parse_date(text, order), "date", i)
+            got = hold(D.parse_parts(hold(D.date_parts(text), "parts", i), order), "date", i, 1)
             ok = got["date"].isNotNull()
             unsure = got["ambiguous"] if mixed else one(False)
-            after = D.show_date(got["date"], date_style)
+            after = hold(D.show_date(got["date"], date_style), "shown", i, 2)
             sure = F.when(got["swapped"], 0.7).when(got["converted"], 0.9).when(got["ambiguous"], 0.75).otherwise(0.98)
             fixes.append(Fix("normalize-date", i, F.coalesce(present & ok & ~unsure & (after != text), one(False)), after, sure))
             flags.append(Flag("impossible-date", i, present & ~ok, "error"))
             if mixed:
                 flags.append(Flag("ambiguous-date", i, F.coalesce(present & ok & unsure, one(False)), "warning"))
         if string and on("normalize-number") and c.facts["present"] >= 3 and c.facts["numeric"] >= 0.7 * c.facts["present"]:
-            plain = hold(X.undecorated(text), "plain", i)
-            fixes.append(Fix("normalize-number", i, plain.isNotNull(), plain, one(0.92)))
+            digits = hold(X.plain_number(tidy), "plain", i, 1)
+            fixes.append(Fix("normalize-number", i, digits.isNotNull(), digits, one(0.92)))
         if i in spelled:
             word = F.lower(tidy)
             target = F.when(word.isin([*D.TRUE_WORDS, "1"]), spelled[i][0]).when(word.isin([*D.FALSE_WORDS, "0"]), spelled[i][1])
             if string:
                 fixes.append(Fix("normalize-boolean", i, F.coalesce(target != tidy, one(False)), target, one(0.9)))
 
-        def pair(rule: str, gate: bool, value: Column, confidence: float, extra: Column = one(True)) -> None:
+        def pair(rule: str, gate: bool, normal, confidence: float) -> None:
             if gate and on(f"normalize-{rule}"):
-                value = hold(value, rule.replace("-", "_"), i)
+                value = hold(normal(text), rule.replace("-", "_"), i)
+                extra = text.rlike(r"\d") if rule == "phone" else one(True)
                 fixes.append(Fix(f"normalize-{rule}", i, F.coalesce(present & extra & (value != text), one(False)), value, one(confidence)))
                 flags.append(Flag(f"invalid-{rule}", i, present & extra & value.isNull(), "error"))
 
-        pair("email", string and (c.type == "email" or named(name, "e-?mail")), D.normal_email(text), 0.95)
-        pair("phone", c.type == "phone" or named(name, "phone|mobile|tel|contact no"), D.normal_phone(text), 0.9, text.rlike(r"\d"))
-        pair("postcode", string and (c.type == "postcode" or named(name, r"post\s*code|postal")), D.normal_postcode(text), 1.0)
-        pair("vat", named(name, r"\bvat\b|vat"), D.normal_vat(text), 1.0)
-        pair("sort-code", named(name, r"sort[\s_-]*code"), D.normal_sort_code(text), 1.0)
-        pair("company-number", named(name, r"company[\s_-]*(no|number|reg)|\bcrn\b"), D.normal_company(text), 1.0)
-    wide = Dataset(data.df.withColumns(held), data.headers, data.ragged_rows, data.kinds)
-    return wide, fixes, flags
+        pair("email", string and (c.type == "email" or named(name, "e-?mail")), D.normal_email, 0.95)
+        pair("phone", c.type == "phone" or named(name, "phone|mobile|tel|contact no"), D.normal_phone, 0.9)
+        pair("postcode", string and (c.type == "postcode" or named(name, r"post\s*code|postal")), D.normal_postcode, 1.0)
+        pair("vat", named(name, r"\bvat\b|vat"), D.normal_vat, 1.0)
+        pair("sort-code", named(name, r"sort[\s_-]*code"), D.normal_sort_code, 1.0)
+        pair("company-number", named(name, r"company[\s_-]*(no|number|reg)|\bcrn\b"), D.normal_company, 1.0)
+    df = data.df
+    for level in held:
+        df = df.withColumns(level) if level else df
+    return Dataset(df, data.headers, data.ragged_rows, data.kinds, plain), fixes, flags
 
 
 def patches(data: Dataset, fixes: list[Fix]) -> DataFrame:
@@ -237,17 +241,23 @@ def duplicates(data: Dataset, key: list[str] | None = None) -> DataFrame:
     Grouped minimum and join back, so that a row repeated a million times is no hot window."""
     at = [i for i in (data.index(k) for k in key or data.headers) if i is not None] or list(range(len(data)))
     cells = [F.lower(X.clean_space(data.text(i))) for i in at]
-    k = F.when(F.concat(*cells) != "", F.sha2(F.encode(F.to_json(F.array(*cells)), "UTF-8"), 256))
-    rows = data.df.select(ROW, k.alias("k")).filter("k is not null")
-    first = rows.groupBy("k").agg(F.min(ROW).alias("duplicate_of"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return rows.join(first, "k").filter(F.col(ROW) > F.col("duplicate_of")).select(ROW, "duplicate_of")
+    k = F.sha2(F.encode(F.to_json(F.array(*cells)), "UTF-8"), 256)
+    rows = data.df.select(ROW, k.alias("k"), (F.concat(*cells) == "").alias("blank"))
+    # blank keys go after the grouping: a filter on them would reach the scan as one long condition, which the optimizer dwells on
+    first = rows.groupBy("k").agg(F.min(ROW).alias("duplicate_of"), F.count(F.lit(1)).alias("n"), F.max("blank").alias("blank"))
+    first = first.filter("n > 1 and not blank").select("k", "duplicate_of")
+    return rows.select(ROW, "k").join(first, "k").filter(F.col(ROW) > F.col("duplicate_of")).select(ROW, "duplicate_of")
 
 
 def blank_rows(data: Dataset) -> DataFrame:
+    return data.df.filter(_all_blank(data, range(len(data)))).select(ROW)
+
+
+def _all_blank(data: Dataset, columns) -> Column:
     blank = F.lit(True)
-    for i in range(len(data)):
+    for i in columns:
         blank = blank & X.is_empty(data.text(i))
-    return data.df.filter(blank).select(ROW)
+    return blank
 
 
 def outliers(data: Dataset, i: int) -> dict | None:
@@ -294,70 +304,92 @@ def outliers(data: Dataset, i: int) -> dict | None:
 def dependencies(data: Dataset, prof: Profile) -> DataFrame:
     """(a, b, supported, paired, violations) of ordered column pairs where a nearly determines b. One long-form job.
 
-    Candidates: up to 12 columns with 2 to 500 distinct values, half filled, two rows a value; groups of 3 or more with 80 % agreement
-    support a pair, which needs support from half its rows and at most 5 % violations."""
-    good = [c for c in prof.columns if 2 <= c.distinct <= 500 and c.non_empty >= 0.5 * prof.rows and prof.rows >= 2 * c.distinct][:12]
+    Candidates: up to 12 columns with 2 to 500 distinct values, half filled, two filled rows a value. Of 20 or more rows with both values,
+    half must be in groups of 3 or more; in a group where 80 % agree the rest are violations, at most 5 % of all."""
+    good = [c for c in prof.columns if 2 <= c.distinct <= 500 and c.non_empty >= 0.5 * prof.rows and c.non_empty >= 2 * c.distinct][:12]
     pairs = [(p, q) for p in good for q in good if p.index != q.index and (p.distinct > q.distinct or (p.distinct == q.distinct and p.index < q.index))]
     schema = "a string, b string, supported long, paired long, violations long"
     if prof.rows < 20 or not pairs:
         return data.df.sparkSession.createDataFrame([], schema)
-    norm = {c.index: F.when(~X.is_missing(data.text(c.index)), F.lower(X.clean_space(data.text(c.index)))) for c in good}
+    norm = {c.index: F.when(~X.is_empty(data.text(c.index)), F.lower(X.clean_space(data.text(c.index)))) for c in good}
     df = data.df.select(*[norm[i].alias(f"v{i}") for i in norm])
     cells = F.array(*[F.when(F.col(f"v{p.index}").isNotNull() & F.col(f"v{q.index}").isNotNull(), F.struct(F.lit(k).alias("pair"), F.col(f"v{p.index}").alias("x"), F.col(f"v{q.index}").alias("y"))) for k, (p, q) in enumerate(pairs)])
     counts = df.select(F.inline(F.filter(cells, lambda x: x.isNotNull()))).groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     groups = counts.groupBy("pair", "x").agg(F.sum("n").alias("total"), F.max("n").alias("top"))
-    holds = (F.col("total") >= 3) & (F.col("top") >= 0.8 * F.col("total"))
-    sums = groups.groupBy("pair").agg(F.sum(F.when(holds, F.col("total")).otherwise(0)).alias("supported"), F.sum("total").alias("paired"), F.sum(F.when(holds, F.col("total") - F.col("top")).otherwise(0)).alias("violations"))
-    sums = sums.filter("supported >= 0.5 * paired and violations > 0 and violations <= 0.05 * paired")
+    large = F.col("total") >= 3
+    holds = large & (F.col("top") >= 0.8 * F.col("total"))
+    sums = groups.groupBy("pair").agg(F.sum(F.when(large, F.col("total")).otherwise(0)).alias("supported"), F.sum("total").alias("paired"), F.sum(F.when(holds, F.col("total") - F.col("top")).otherwise(0)).alias("violations"))
+    sums = sums.filter("paired >= 20 and supported >= 0.5 * paired and violations > 0 and violations <= 0.05 * paired")
     names = F.array(*[F.struct(F.lit(p.name).alias("a"), F.lit(q.name).alias("b")) for p, q in pairs])
     return sums.select(F.get(names, "pair").alias("p"), "supported", "paired", "violations").select("p.a", "p.b", "supported", "paired", "violations")
 
 
-def near_duplicates(data: Dataset, window: int = 8, most: int = 50_000, all_pairs: int = 500) -> DataFrame:
-    """(_row, cluster): clusters of rows with equal fingerprints, or with fingerprints within the edit budget: among all pairs up to 500 distinct
-    ones, and among 8 neighbours in two sort orders beyond.
+# Fixed value: words in headers that tell identifiers.
+ID_WORDS = r"(?i)(^|[^a-z])(id|ids|uid|ref|reference|code|sku|key|account|acct|no|number)([^a-z]|$)"
+#: Rows of a sorted order that one task holds against their neighbours.
+STRETCH = 100_000
+
+
+def identifiers(data: Dataset) -> list[int]:
+    """Columns that tell rows apart: nearly distinct ones with 10 values or more, and distinct ones that are named so. One long-form job."""
+    cells = F.array(*[F.when(~X.is_missing(data.text(i), data.is_string(i)), F.struct(F.lit(i).alias("at"), F.lower(X.strip(data.text(i))).alias("v"))) for i in range(len(data))])
+    counts = data.df.select(F.inline(F.filter(cells, lambda x: x.isNotNull()))).groupBy("at", "v").agg(F.count(F.lit(1)).alias("n"))
+    out = []
+    for r in counts.groupBy("at").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("filled")).collect():
+        if (r.filled >= 10 and r.distinct >= 0.9 * r.filled) or (r.distinct == r.filled and re.search(ID_WORDS, data.headers[r["at"]])):
+            out.append(r["at"])
+    return out
+
+
+def near_duplicates(data: Dataset, key: list[str] | None = None, window: int = 8, most: int | None = None, all_pairs: int = 500) -> DataFrame:
+    """(_row, cluster): clusters of rows that are no exact duplicates, with equal fingerprints or, but for identifiers and numbers, within the
+    edit budget: among all pairs up to 500 distinct fingerprints, and among 8 neighbours in two sort orders beyond.
+
+    most: distinct fingerprints from which on only equality counts; by default typos count at any size."""
+    gone = duplicates(data, key).select(ROW)
+    rows = data.df.join(gone, ROW, "left_anti")
+    named_key = [i for i in (data.index(k) for k in key or []) if i is not None]
+    if named_key:
+        rows = rows.filter(~_all_blank(data, named_key))
+    told = set(identifiers(data))
 
-    The typo pass is left out beyond 50,000 distinct fingerprints, as the operator's contract has it; equality always counts."""
-    gone = duplicates(data).select(ROW)
-    rows = data.df.join(gone, ROW, "left_anti").join(blank_rows(data), ROW, "left_anti")
-    idish = [i for i, h in enumerate(data.headers) if re.search(r"(?i)(^|[^a-z])(id|ids|uid|ref|reference|code|sku|key|account|acct|no|number)([^a-z]|$)", h)]
-    full = X.fingerprint(F.concat_ws(" ", *[data.text(i) for i in range(len(data))]))
-    context = X.fingerprint(F.concat_ws(" ", *[data.text(i) for i in range(len(data)) if i not in idish]), letters_only=True)
-    prints = rows.select(ROW, full.alias("f"), context.alias("ctx")).groupBy("f").agg(F.min(ROW).alias("id"), F.min_by("ctx", ROW).alias("ctx"))
-    members = rows.select(ROW, full.alias("f")).join(prints.select("f", "id"), "f")
-    root: dict[int, int] = {}
+    def cells(columns) -> Column:
+        return F.concat_ws(" ", *[F.when(~X.is_sentinel(data.text(i)), data.text(i)) if data.is_string(i) else data.text(i) for i in columns])
+
+    full = X.fingerprint(cells(range(len(data))))
+    context = X.fingerprint(cells(i for i in range(len(data)) if i not in told), letters_only=True)
+    marked = rows.select(ROW, full.alias("f"), context.alias("ctx")).filter("f <> ''")
+    prints = cut(marked.groupBy("f").agg(F.min(ROW).alias("id"), F.min_by("ctx", ROW).alias("ctx")))
     distinct = prints.count()
-    if distinct <= most:
-        edges = []
-        if distinct <= all_pairs:
-            other = prints.select(F.struct("id", "ctx").alias("o"))
-            edges.append(prints.join(F.broadcast(other), F.col("id") < F.col("o.id")))
-        for key in (F.col("ctx"), F.reverse("ctx")) if distinct > all_pairs else ():
-            w = W.orderBy(key, "id").rowsBetween(1, window)
-            near = prints.filter(F.char_length("ctx") >= 6).withColumn("next", F.collect_list(F.struct("id", "ctx")).over(w)).select("id", "ctx", F.explode("next").alias("o"))
-            edges.append(near)
-        short = F.least(F.char_length("ctx"), F.char_length("o.ctx"))
-        ok = (short >= 6) & (F.col("ctx") != F.col("o.ctx")) & (F.levenshtein("ctx", "o.ctx") <= X.edit_budget(short))
-        edges = [near.filter(ok).select(F.col("id").alias("a"), F.col("o.id").alias("b")) for near in edges]
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                x = root[x]
-            return x
-
-        # at most 16 edges for each of 50,000 fingerprints, or all pairs of 500
-        for near in edges:
-            for r in near.collect():
-                a, b = sorted((find(r.a), find(r.b)))
-                root[b] = a
-    spark = data.df.sparkSession
-    table = spark.createDataFrame([(k, (lambda x: x)(_find(root, k))) for k in root], "id long, top long")
-    joined = members.join(table, "id", "left").select(ROW, F.coalesce("top", "id").alias("cluster"))
+    members = marked.select(ROW, "f").join(prints.select("f", "id"), "f").select(ROW, "id")
+    # without 6 letters there is nothing to call a typo, and equal contexts differ in identifiers alone
+    able = prints.select("id", "ctx").filter(F.char_length("ctx") >= 6)
+    if most is not None and distinct > most:
+        near = able.select("id", F.struct("id", "ctx").alias("o"), "ctx").limit(0)
+    elif distinct <= all_pairs:
+        other = able.select(F.struct("id", "ctx").alias("o"))
+        near = able.join(F.broadcast(other), F.col("id") < F.col("o.id"))
+    else:
+        # neighbours are those among all fingerprints, the short ones too
+        every = prints.select("id", "ctx")
+        near = _neighbours(every, F.col("ctx"), window).unionByName(_neighbours(every, F.reverse("ctx"), window))
+    short = F.least(F.char_length("ctx"), F.char_length("o.ctx"))
+    typo = (short >= 6) & (F.col("ctx") != F.col("o.ctx")) & (F.levenshtein("ctx", "o.ctx", 3) >= 0) & (F.levenshtein("ctx", "o.ctx", 3) <= X.edit_budget(short))
+    links = near.filter(typo).select(F.col("id").alias("a"), F.col("o.id").alias("b"))
+    joined = members.join(components(links).select(F.col("node").alias("id"), "root"), "id", "left").select(ROW, F.coalesce("root", "id").alias("cluster"))
     big = joined.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cluster")
     return joined.join(big, "cluster").select(ROW, "cluster")
 
 
-def _find(root: dict[int, int], x: int) -> int:
-    while root[x] != x:
-        x = root[x]
-    return x
+def _neighbours(prints: DataFrame, order: Column, window: int) -> DataFrame:
+    """(id, ctx, o): each row with each of the `window` rows that follow it in the order.
+
+    Rows get their dense place; a task holds a stretch of places and the first rows of the next."""
+    placed = dense(prints.select("id", "ctx", order.alias("_k")), "_k", "id").select("id", "ctx", F.col(ROW).alias("p"))
+    own = F.floor(F.col("p") / STRETCH)
+    # the first rows of a stretch are also guests at the end of the one before
+    homes = F.when((F.col("p") % STRETCH < window) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    dealt = placed.select("id", "ctx", "p", own.alias("own"), F.explode(homes).alias("stretch"))
+    w = W.partitionBy("stretch").orderBy("p").rowsBetween(1, window)
+    follow = dealt.withColumn("next", F.collect_list(F.struct("id", "ctx")).over(w)).filter("own = stretch")
+    return follow.select("id", "ctx", F.explode("next").alias("o"))

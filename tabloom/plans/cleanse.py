@@ -50,6 +50,7 @@ class Result:
 
 
 def _removals(data: Dataset, options: Options) -> DataFrame:
+    data = data.plain
     none = data.df.select(ROW, F.lit("").alias("rule"), F.lit(None).cast("long").alias("duplicate_of")).limit(0)
     out = none
     if "remove-duplicate-rows" not in options.disabled:
@@ -107,7 +108,7 @@ def _advisories(data: Dataset, prof: Profile, options: Options) -> list[Finding]
                 short = data.df.agg(F.count_if(X.strip(data.text(c.index)).rlike(r"^\d+$") & (F.char_length(X.strip(data.text(c.index))) < c.facts["zero_len"]))).first()[0]
                 if short:
                     out.append(Finding("suspect-leading-zeros", "warning", short, f"{c.name}: lost zeros", column=c.name))
-            if c.type in ("number", "mixed") and c.facts["numeric"] >= max(8, 0.9 * c.non_empty):
+            if c.type in ("number", "mixed") and c.facts["numbers"] >= max(8, 0.9 * c.non_empty):
                 got = R.outliers(data, c.index)
                 if got and got["placeholder"]:
                     out.append(Finding("numeric-outliers", "warning", got["placeholder"], f"{c.name}: placeholder numbers", column=c.name))
@@ -125,7 +126,7 @@ def _advisories(data: Dataset, prof: Profile, options: Options) -> list[Finding]
         if n:
             out.append(Finding("inconsistent-mapping", "warning", n, "Values that break a mapping between columns"))
     if "remove-duplicate-rows" not in options.disabled:
-        near = R.near_duplicates(data)
+        near = R.near_duplicates(data, list(options.dedupe_key) or None)
         n = near.agg(F.count(F.lit(1)) - F.count_distinct("cluster")).first()[0]
         if n:
             out.append(Finding("near-duplicate-rows", "warning", n, "Rows that nearly repeat another"))

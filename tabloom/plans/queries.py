@@ -264,3 +264,17 @@ def score_card(spark, d):
 def constraint_suggest(spark, d):
     data = mess(spark, d)
     return spark.createDataFrame([(c.kind, c.column, list(c.values)) for c in C.suggest(data, profile(data, samples=False))], "kind string, column string, values array<string>")
+
+
+@query(f"""with l as ({SQL_LEFT} where o_orderkey % 7 <> 0), r as ({SQL_RIGHT}), j as (
+ select l.id, case when l.id is null then r.ck else l.ck end as ck, l.status, r.cid, r.segment from l full join r on lower(trim(l.ck)) = lower(r.ck) and l.ck is not null)
+select id, trim(ck) as ck, status, cid, segment from j""")
+def recipe_join(spark, d):
+    """A recipe that joins and cleans: every joined row is there once, those of the right alone too."""
+    from tabloom.plans.cleanse import Options
+    from tabloom.plans.recipe import Recipe, run
+
+    left = view(spark, d, LEFT + " where o_orderkey % 7 <> 0", "id")
+    off = {"consistent-casing", "standardise-values", "remove-duplicate-rows"}
+    plan = Recipe(Options(disabled=frozenset(off), projection=False), join={"type": "full", "keys": [["ck", "ck"]]})
+    return run(left, plan, view(spark, d, RIGHT, "cid"))[1].named()

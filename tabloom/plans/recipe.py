@@ -55,7 +55,7 @@ def run(data: Dataset, recipe: Recipe, other: Dataset | None = None) -> tuple[Re
         if other is None:
             raise ValueError("The recipe joins a second table, and none was given")
         keys = [tuple(k) for k in recipe.join.get("keys") or []] or None
-        data = join_tables(data, other, recipe.join["type"], keys).table
+        data = join_tables(data, other, recipe.join["type"], keys).numbered()
     result = cleanse(data, recipe.options)
     return result, result.cleaned(frozenset(recipe.skip))
 
@@ -84,30 +84,44 @@ def to_html(rep: dict, title: str = "Data quality report") -> str:
     return f"<!doctype html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><p>Score {rep['score']['composite']}</p><table>{rows}</table><ul>{notes}</ul>"
 
 
-# Phrases and the rules that they mean.
-PHRASES = {"remove-duplicate-rows": r"duplicat|dedup", "trim-whitespace": r"white ?space|trim|spaces", "consistent-casing": r"casing|capitali[sz]", "normalize-date": r"\bdates?\b", "normalize-number": r"numbers?|currenc|money", "normalize-boolean": r"booleans?|yes/no|true/false", "normalize-email": r"e-?mails?", "normalize-phone": r"phones?|telephone", "normalize-postcode": r"post ?codes?"}
-NEGATION = r"\b(don't|do not|never|no|without|keep|leave|ignore|skip|exclude|preserve|retain)\b"
+# Rules that words can switch off and the words that name them; words that negate; date styles and reading orders.
+TOPICS = {
+    "remove-duplicate-rows": r"\bduplicate|\bdupe|\bdedup",
+    "consistent-casing": r"\bcas(e|ing)|capitali[sz]",
+    "trim-whitespace": r"\bwhitespace|\bspaces?\b|\btrim",
+    "remove-blank-rows": r"\bblank|\bempty rows?",
+    "normalize-date": r"\bdates?\b",
+    "normalize-number": r"\bnumbers?\b|\bnumeric",
+    "normalize-email": r"\bemails?\b",
+    "normalize-phone": r"\bphones?\b|\bmobiles?\b",
+    "normalize-postcode": r"\bpost\s?codes?\b",
+}
+NEGATION = r"\b(don'?t|do not|never|no|without|keep|leave|ignore|skip|exclude|preserve|retain)\b"
+STYLES = {"iso": r"\biso\b|yyyy-mm-dd|year first", "uk": r"\buk\b|dd/mm|british", "us": r"\bus\b|mm/dd|american"}
+ORDERS = {"DMY": r"day[\s-]?first|dd/mm|d/m", "MDY": r"month[\s-]?first|mm/dd|m/d"}
 
 
 def instruction(text: str) -> tuple[Options, list[str], list[str]]:
-    """Options that a few plain words ask for, the clauses understood, and those that were not."""
+    """Options that a few plain words ask for, the clauses understood, and those that were not.
+
+    "only" or "just" with a topic switches all other topics off. A clause that negates a topic switches it off. A date style needs "date" or
+    "format" beside it (but for ISO), and a reading order a word like "read" or "treat": "US dates" is how dates are written, not read."""
+
+    def said(pattern: str, where: str) -> bool:
+        return bool(re.search(pattern, where, re.I))
+
+    clauses = [c.strip() for c in re.split(r"[,;.\n]|\b(?:and|also|but)\b", text, flags=re.I) if c.strip()]
+    wanted = {rule for rule, words in TOPICS.items() if said(words, text)}
+    if wanted and said(r"\b(only|just)\b", text):
+        return Options(disabled=frozenset(TOPICS.keys() - wanted)), clauses, []
+    asked: dict[str, str] = {}
     disabled: set[str] = set()
-    wanted: set[str] = set()
-    order, style, matched, rest = "auto", "iso", [], []
-    only = bool(re.search(r"\b(only|just)\b", text, re.I))
-    for clause in filter(None, (c.strip() for c in re.split(r"[,;.\n]|\b(?:and|also|but)\b", text))):
-        low, hit = clause.lower(), False
-        if re.search(r"\b(us|american|mm/dd|month first)\b", low):
-            order, style, hit = "MDY", "us", True
-        elif re.search(r"\b(uk|british|dd/mm|day first)\b", low):
-            order, style, hit = "DMY", "uk", True
-        elif re.search(r"\biso\b", low):
-            style, hit = "iso", True
-        for rule, pattern in PHRASES.items():
-            if re.search(pattern, low):
-                hit = True
-                (disabled if re.search(NEGATION, low) else wanted).add(rule)
-        (matched if hit else rest).append(clause)
-    if only and wanted:
-        disabled |= set(PHRASES) - wanted
-    return Options(date_order=order, date_style=style, disabled=frozenset(disabled)), matched, rest
+    matched, rest = [], []
+    for clause in clauses:
+        styles = [k for k, words in STYLES.items() if said(words, clause) and (k == "iso" or said(r"\bdates?\b|format", clause))][:1]
+        orders = [k for k, words in ORDERS.items() if said(words, clause) and said(r"\btreat|read|interpret|assume", clause)][:1]
+        off = {rule for rule, words in TOPICS.items() if said(words, clause)} if said(NEGATION, clause) else set()
+        asked |= {"date_style": k for k in styles} | {"date_order": k for k in orders}
+        (matched if styles or orders or off - disabled else rest).append(clause)
+        disabled |= off
+    return Options(disabled=frozenset(disabled), **asked), matched, rest
