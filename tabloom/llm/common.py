@@ -1,29 +1,20 @@
-"""Helpers shared by the corpus operators: table reads, lineage cuts, row identity and connected components."""
+"""Helpers shared by the corpus operators: table reads, row identity and Arrow batches; cut and components are those of the table operators."""
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.dataset import cut  # noqa: F401
+from tabloom.operators.components import components  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder the session names (spark.checkpoint.dir).
-
-    Only a session without that setting, as in tests, gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tabloom-ck-"))
-    return df.checkpoint(eager=True)
-
-
 def width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -51,38 +42,6 @@ def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.withColumn("row_id", F.col(id_col).cast("long"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected edge list (a long, b long): rows (node, root), root the smallest node.
-
-    Alternates large-star and small-star steps, each a grouped minimum joined back to the edges, until the edges no
-    longer change. No node's neighbours are ever gathered into one row, so a node with very many links is no problem;
-    the checkpoint of every round keeps the lineage short and survives lost executors."""
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 20)))).first())
-
-    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    seen = mark(e)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        e = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        now = mark(e)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
 def binary_parts(array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow binary array in one buffer, and the offsets of its values in it."""
     array = array.combine_chunks() if hasattr(array, "combine_chunks") else array
