@@ -7,8 +7,10 @@
    steer cost only; the result is exact for any choice.
 3. Each class is indexed under its own value of a partition and probes all values within t_i of it. What meets under one
    value is verified on all 64 bits, and only links that join two parts not yet joined in that bucket leave the task: a
-   family of n copies yields n - 1 links, not n(n-1)/2. A value held by very many classes is split: each index row goes to
-   one of its shares, each probe to all of them.
+   family of n copies yields n - 1 links, not n(n-1)/2. Where over about 50,000 rows would meet, the pigeonhole is applied
+   again: the other partitions' bits are cut in radius + 1 blocks, on one of which two classes within the radius agree, so
+   each row goes to radius + 1 buckets of those that share a block with it, and never to all. What a block leaves together is
+   compared in linear memory, breadth first, as in any bucket.
 4. Connected components of the links give the classes' representative.
 
 Edge cases: null or blank text has fingerprint zero and links like any other; repeated rows and ids each get a row; an
@@ -30,7 +32,7 @@ from tabloom.llm.common import components, cut, sliced, width
 
 #: Classes sampled for bit correlations and candidate estimates.
 SAMPLE = 20_000
-#: An index value with more classes than this is split into shares of about this size.
+#: A value where more rows than this can meet is dealt out by blocks of the other bits.
 SHARE = 50_000
 
 
@@ -85,6 +87,8 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3)
 
 def bit_groups(sample: np.ndarray, m: int) -> list[list[int]]:
     """m groups of nearly equal size; each grows by the free bit that correlates most with it."""
+    if not len(sample):
+        sample = np.zeros(1, np.int64)
     bits = (sample.view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
     x = bits.astype(np.float64) - bits.mean(axis=0)
     scale = np.sqrt((x * x).mean(axis=0)) + 1e-9
@@ -175,31 +179,52 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int, small: int = 24
     return np.concatenate([none, *a]).view(np.int64), np.concatenate([none, *b]).view(np.int64)
 
 
-def links(classes: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b): links that span, bucket by bucket, all classes (fp long, distinct) within radius of one another."""
+def signed(bits: list[int]) -> int:
+    x = sum(1 << b for b in bits)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def dealt(classes: DataFrame, radius: int = 3) -> tuple[DataFrame, int]:
+    """(key long, fp long) such that classes (fp long, distinct) within radius meet under a key; and the number of classes."""
     rows = classes.count()
     sample = np.array(sorted(r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()), np.int64)
     np.random.default_rng(5).shuffle(sample)
     plans = [(*allocate(sample, g, radius, rows), g) for g in (bit_groups(sample, m) for m in (2, 3))]
     _, thresholds, groups = min(plans, key=lambda p: p[0])
+    used = [(i, g, masks(g, t)) for i, (g, t) in enumerate(zip(groups, thresholds)) if t >= 0]
+
+    def value(group: list[int]):
+        return F.col("fp").bitwiseAND(F.lit(signed(group)))
+
+    def near(i: int, own, flips: list[int]):
+        return F.transform(F.array(*[F.lit(x) for x in flips]), lambda x: F.struct(F.lit(i).alias("part"), own.bitwiseXOR(x).alias("value")))
+
+    # rows that can meet under a value: those of the values around it; leaving out values of few classes errs by SHARE at most
+    index = classes.select("fp", F.inline(F.array(*[F.struct(F.lit(i).alias("part"), value(g).alias("value")) for i, g, _ in used])))
+    most = max((len(m) for _, _, m in used), default=1)
+    warm = index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARE / most)
+    around = F.lit(None)
+    for i, _, m in used:
+        around = F.when(F.col("part") == i, near(i, F.col("value"), m)).otherwise(around)
+    hot = warm.select("n", F.explode(around).alias("x")).groupBy("x.part", "x.value").agg(F.sum("n").alias("n")).filter(F.col("n") > SHARE)
+    hot = cut(hot.select("part", "value", F.lit(True).alias("hot")))
+    probes = classes.select("fp", F.inline(F.concat(*[near(i, value(g), m) for i, g, m in used])))
+    probes = probes.join(F.broadcast(hot) if hot.limit(10_001).count() <= 10_000 else hot, ["part", "value"], "left")
+    # the key's hash only gathers candidates; two keys that collide cost a comparison and lose nothing
+    blocks = F.lit(None)
+    ones = ((sample.view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).mean(axis=0) if len(sample) else np.zeros(64)
+    for i, g, _ in used:
+        # the bits that tell most are shared out evenly
+        rest = sorted((b for b in range(64) if b not in g), key=lambda b: (abs(ones[b] - 0.5), b))
+        cuts = [rest[k :: radius + 1] for k in range(radius + 1)]
+        blocks = F.when(F.col("part") == i, F.array(*[F.xxhash64("part", "value", F.lit(k), value(c)) for k, c in enumerate(cuts)])).otherwise(blocks)
+    keys = F.when(F.col("hot"), blocks).otherwise(F.array(F.xxhash64("part", "value")))
+    return probes.select(F.explode(keys).alias("key"), "fp"), rows
 
-    def signed(group: list[int]) -> int:
-        x = sum(1 << g for g in group)
-        return x - (1 << 64) if x >> 63 else x
-
-    own = [F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(signed(g))).alias("value")) for i, (g, t) in enumerate(zip(groups, thresholds)) if t >= 0]
-    index = classes.select("fp", F.inline(F.array(*own)))
-    hot = index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARE).select("part", "value", F.ceil(F.col("n") / SHARE).cast("int").alias("shares"))
-
-    def probed(i: int, group: list[int], t: int):
-        own = F.col("fp").bitwiseAND(F.lit(signed(group)))
-        return F.transform(F.array(*[F.lit(x) for x in masks(group, t)]), lambda x: F.struct(F.lit(i).alias("part"), own.bitwiseXOR(x).alias("value"), (x != 0).alias("probe")))
 
-    probes = [probed(i, g, t) for i, (g, t) in enumerate(zip(groups, thresholds)) if t >= 0]
-    rows_out = classes.select("fp", F.inline(F.concat(*probes)))
-    rows_out = rows_out.join(F.broadcast(hot) if hot.limit(10_001).count() <= 10_000 else hot, ["part", "value"], "left")
-    every = F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)
-    rows_out = rows_out.select("fp", "part", "value", F.explode(every).alias("share"))
+def links(classes: DataFrame, radius: int = 3) -> DataFrame:
+    """(a, b): links that span, bucket by bucket, all classes (fp long, distinct) within radius of one another."""
+    keyed, rows = dealt(classes, radius)
 
     def verify(batches):
         got = [b for b in batches if b.num_rows]
@@ -208,8 +233,6 @@ def links(classes: DataFrame, radius: int = 3) -> DataFrame:
             a, b = bucket_links(t.column("key").to_numpy(), t.column("fp").to_numpy(), radius)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    # the key's hash only gathers candidates; two keys that collide cost a comparison and lose nothing
-    keyed = rows_out.select(F.xxhash64("part", "value", "share").alias("key"), "fp")
     n = max(width(classes), math.ceil(rows * 24 / 400_000))
     return keyed.repartition(n, "key").mapInArrow(verify, "a long, b long")
 
