@@ -9,11 +9,11 @@ Words are runs of letters and digits in lower case. An item is its words; a wind
    shingles are gathered by document, item and stretch of two item sizes, so a document that repeats an item is no large group.
 2. SimHash: the window's words vote, each with its weight (its length in letters, up to 8), on 64 bits.
 3. Multi-index: fingerprints are cut in RADIUS + 1 = 21 blocks; two within 20 bits agree on a block. A window meets just the items with
-   which it agrees on one, and is kept within 20 bits. Two texts at the similarity differ in 5 to 12 bits, short ones in a few more.
+   which it agrees on one, and is kept within 20 bits, once, at the first block of those. Two texts at the similarity differ in 5 to 12 bits, short ones in a few more.
 4. Verification: weighted Jaccard similarity of five-word shingles (of all words, where there are fewer), the weight of a shingle
    being the letters in it; 0.8 or more makes a leak.
 
-The items' side is broadcast only when its counted rows are under BROADCAST_ROWS, and joined by shuffle beyond.
+Each part of the items' side is broadcast only when its counted rows and words are bounded by BROADCAST_ROWS, and joined by shuffle beyond.
 
 Edge cases: null and empty texts and items match nothing; items of fewer than five words count as one shingle of all their words;
 repeated documents each give their rows, repeated item texts each their items, and repeated rows of one id one row with the
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import cut
+from tabloom.llm.common import cut, width
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 20, 21
 BROADCAST_ROWS = 50_000
@@ -41,16 +41,31 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shingle_hashes(w: Column) -> Column:
-    """Hash of the five words from each place on."""
+def phrase_hashes(w: Column, n: int) -> Column:
+    """Hash of the n words from each place on."""
 
     def hashes(v: Column) -> Column:
-        every = F.transform(v, lambda x, i: F.xxhash64(x, *[F.get(v, i + k) for k in range(1, SHINGLE)]))
-        return F.slice(every, 1, F.greatest(F.size(v) - (SHINGLE - 1), F.lit(0)))
+        every = F.transform(v, lambda x, i: F.xxhash64(x, *[F.get(v, i + k) for k in range(1, n)]))
+        return F.slice(every, 1, F.greatest(F.size(v) - (n - 1), F.lit(0)))
 
     return let(w, hashes)
 
 
+def shingle_hashes(w: Column) -> Column:
+    return phrase_hashes(w, SHINGLE)
+
+
+def places(base: DataFrame, n: int, known: DataFrame, small: bool) -> DataFrame:
+    """(doc_id, w, h, pos): where a document has n words whose hash is one of known (h); small: known is of a counted, bounded size."""
+    if not small:
+        return base.select("doc_id", "w", F.posexplode(phrase_hashes(F.col("w"), n)).alias("pos", "h"))
+    # rows without one of them end at the scan
+    table, test = among([r[0] for r in known.select("h").distinct().collect()])
+    some = base.filter(let(table, lambda t: F.exists(phrase_hashes(F.col("w"), n), lambda h: test(t, h))))
+    marks = let(table, lambda t: F.transform(phrase_hashes(F.col("w"), n), lambda h, i: F.when(test(t, h), F.struct(h.alias("h"), i.alias("pos")))))
+    return some.select("doc_id", "w", F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("x")).select("doc_id", "w", "x.h", "x.pos")
+
+
 def simhash(w: Column) -> Column:
     """64 weighted votes, as a long."""
     bits = F.sequence(F.lit(0), F.lit(63))
@@ -159,7 +174,11 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     similarity, or the best of all where no aligned one has it."""
     bench = items.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("iw")).filter(F.size("iw") > 0)
     bench = cut(bench.select("item_id", "iw", F.size("iw").alias("n"), simhash(F.col("iw")).alias("ih")))
-    short = bench.filter(F.col("n") < SHINGLE).count()
+    size = bench.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    # the index has a row for each block of an item
+    few = size.items * BLOCKS <= BROADCAST_ROWS and size.words <= 20 * BROADCAST_ROWS
+    short = bench.filter(F.col("n") < SHINGLE).select("n", F.col("iw")).distinct()
+    shorts = {r.n: r["count"] for r in short.groupBy("n").count().collect()}
     seeds = bench.filter(F.col("n") >= SHINGLE).select("iw", "n", F.posexplode(shingle_hashes(F.col("iw"))).alias("ipos", "h"))
     # a shingle that an item repeats weighs as often as the item has it
     wt = F.char_length(F.array_join(F.slice("iw", F.col("ipos") + 1, SHINGLE), ""))
@@ -170,26 +189,22 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     hint = F.broadcast if small else (lambda x: x)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     base = docs.select("doc_id", words(F.col("text")).alias("w"))
-    if small:
-        # a counted, bounded set of hashes: rows without one of them end at the scan
-        table, known = among([r[0] for r in seeds.select("h").distinct().collect()])
-        some = base.filter(let(table, lambda t: F.exists(shingle_hashes(F.col("w")), lambda h: known(t, h))))
-        marks = let(table, lambda t: F.transform(shingle_hashes(F.col("w")), lambda h, i: F.when(known(t, h), F.struct(h.alias("h"), i.alias("pos")))))
-        hits = some.select("doc_id", "w", F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("x")).select("doc_id", "w", "x.h", "x.pos")
-    else:
-        hits = base.select("doc_id", "w", F.posexplode(shingle_hashes(F.col("w"))).alias("pos", "h"))
-    hits = hits.join(hint(seeds), "h")
+    hits = places(base, SHINGLE, seeds, small).join(hint(seeds), "h")
     windows = windows_of(hits, least)
-    if short:
-        # items under five words: every place of their first word proposes a window
-        tiny = bench.filter(F.col("n") < SHINGLE).select(F.col("iw")[0].alias("first"), "n").distinct()
-        spots = base.select("doc_id", "w", F.posexplode("w").alias("pos", "first")).join(hint(tiny), "first")
-        windows = windows.unionByName(spots.select("doc_id", F.col("pos").alias("start_word"), "n", F.slice("w", F.col("pos") + 1, F.col("n")).alias("win"), F.lit(None).cast("long").alias("aligned")))
+    for n, count in shorts.items():
+        # an item of under five words is one shingle, so a window like it is that phrase itself
+        phrases = short.filter(F.col("n") == n).select(F.get(phrase_hashes(F.col("iw"), n), F.lit(0)).alias("h")).distinct()
+        bounded = count <= BROADCAST_ROWS
+        spots = places(base, n, phrases, bounded).join(F.broadcast(phrases) if bounded else phrases, "h")
+        windows = windows.unionByName(spots.select("doc_id", F.col("pos").alias("start_word"), F.lit(n).alias("n"), F.slice("w", F.col("pos") + 1, n).alias("win"), F.lit(None).cast("long").alias("aligned")))
     windows = windows.groupBy("doc_id", "start_word", "n", "win").agg(F.collect_set("aligned").alias("aligned"))
-    marked = cut(windows.withColumn("h", simhash(F.col("win")))).withColumn("key", F.explode(block_keys(F.col("h"))))
-    index = bench.select("item_id", "iw", "ih", F.explode(block_keys(F.col("ih"))).alias("key"), F.col("n").alias("n_item"))
+    # dealt out anew, as the windows lie in few partitions and verifying them is the work
+    marked = cut(windows.withColumn("h", simhash(F.col("win")))).repartition(max(width(docs), 64)).withColumn("keys", block_keys(F.col("h")))
+    index = bench.select("item_id", "iw", "ih", F.col("n").alias("n_item"), block_keys(F.col("ih")).alias("ikeys")).withColumn("key", F.explode("ikeys"))
     near = F.bit_count(F.col("h").bitwiseXOR(F.col("ih"))) <= RADIUS
-    met = marked.join(hint(index), (marked.key == index.key) & (F.col("n") == F.col("n_item")) & near)
+    # a pair that agrees on several blocks is verified at the first of them alone
+    once = F.get(F.array_intersect("ikeys", "keys"), F.lit(0)) == F.col("key")
+    met = marked.withColumn("wkey", F.explode("keys")).join(F.broadcast(index) if few else index, (F.col("wkey") == F.col("key")) & (F.col("n") == F.col("n_item")) & near & once)
     scored = met.select("doc_id", "item_id", "start_word", F.array_contains("aligned", F.xxhash64("iw")).alias("aligned"), similarity(F.col("win"), F.col("iw")).alias("similarity"))
     best = F.max(F.struct("aligned", "similarity", (-F.col("start_word")).alias("s"))).alias("best")
     return scored.filter(F.col("similarity") >= least).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.s")).alias("start_word"))
