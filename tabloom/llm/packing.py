@@ -116,5 +116,6 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
         return pdf.assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
     cut = pieces(docs, id_col, text_col, capacity, tokenizer, end_id)
-    drawn = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)))
+    # the row's number too, so that repeated or missing ids and equal texts spread
+    drawn = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)))
     return drawn.groupBy("group").applyInPandas(place, PIECE + ", sequence_id long, offset long")
