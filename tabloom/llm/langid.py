@@ -116,13 +116,18 @@ def predict(texts: list[str | None], model: dict | None) -> tuple[list[str], np.
     return names, scores
 
 
+#: Languages whose counts are broadcast; each language sends 2 x per_lang whole texts to the driver, about.
+LANGUAGES = 1_000
+
+
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> dict | None:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter("doc_id is not null and lang is not null and text is not null").filter(fold_of(F.col("doc_id"), 4) != 2)
     share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # about twice as many as are kept, so that each language has enough; at least `per_lang` rows are taken of a small one
-    picked = rows.join(F.broadcast(share), "lang").filter(draw < F.lit(2.0 * per_lang) / F.col("n")).select("doc_id", "text", "lang")
+    few = share.limit(LANGUAGES + 1).count() <= LANGUAGES
+    picked = rows.join(F.broadcast(share) if few else share, "lang").filter(draw < F.lit(2.0 * per_lang) / F.col("n")).select("doc_id", "text", "lang")
     got: dict[str, list] = {}
     for r in sorted(picked.collect(), key=lambda r: (zlib.crc32(f"pick {r.doc_id}".encode()), r.doc_id, r.text)):
         if len(got.setdefault(r.lang, [])) < per_lang:

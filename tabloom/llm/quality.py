@@ -162,8 +162,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, lab
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # ids first: the labelled rows of docs may be fewer than the labels, so some spare ones are drawn
     picked = one.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(sample)
-    rows = {r.doc_id: r for r in sorted(texts.join(F.broadcast(picked), "doc_id").collect(), key=lambda r: (r.doc_id, r.text or ""))}
-    rows = [rows[i] for i in sorted(rows, key=lambda i: zlib.crc32(f"order {i}".encode()))]
+    # of a repeated id one text, the last, so that no more than `sample` texts reach the driver
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text"))
+    rows = sorted(found.collect(), key=lambda r: zlib.crc32(f"order {r.doc_id}".encode()))
     fold = np.array([zlib.crc32(str(r.doc_id).encode()) % 5 == 1 for r in rows], bool)
     return fit([r.text or "" for r in rows], np.array([r.y for r in rows], np.float64), fold)
 
