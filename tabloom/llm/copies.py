@@ -1,12 +1,14 @@
-"""Near copies by exact similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what such links join.
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what such links join.
 
-SimHash can't bound this: at 0.8 two fingerprints differ in about 10 of 64 bits, at times in 18, where the pigeonhole rules out
-next to nothing. Prefix filtering loses no pair:
+SimHash proposes and the shingles decide. Fingerprints of five-word shingles link by the operator's pigeonhole index, and each link between
+two classes of texts is verified by their whole sets. At 0.8, though, two fingerprints differ in about 10 of 64 bits, at times in 18,
+where the pigeonhole rules out next to nothing; so what SimHash has not joined is completed by prefix filtering, which loses no pair:
 
 1. A text is its class, the hash of its words; each class sends its shingles' hashes, and those of one class alone stop there.
 2. Two sets of n and m shingles at 0.8 share 4(n + m) / 9 or more, so a class with under four fifths of its shingles shared has no near
    copy. Of the others, rare shingles first, two near copies meet in the first n - ceil(0.8 n) + 1 places.
-3. In a bucket of what meets, each class is compared with a drawn leader first; only classes that the links found so far do not join are
+3. In a bucket of what meets, each class is compared first with a leader, the class with the least shingles of its own: of edited copies
+   of one text that is the text itself, with which they all link. Only classes that the links found so far do not join are
    then compared pair by pair, so a family of copies costs its size, not its square. Each pair is decided by the whole sets.
 4. Connected components of the links.
 
@@ -25,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import components, cut, sliced, width
+from tabloom.llm.simhash import fingerprints_of
+from tabloom.llm.simhash import links as simhash_links
 
 SHINGLE = 5
 #: Leaders that a class is compared with before the comparison pair by pair; steers cost, never results.
@@ -54,14 +58,25 @@ def shingles_of(words: list[bytes], text: bytes) -> np.ndarray:
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """(row_id, cid) of rows (row_id, body)."""
+    """(row_id, cid, fp) of rows (row_id, body): class and SimHash."""
 
     def run(batches):
         for batch in sliced(batches, 1):
-            got = pa.array([name(joined(t)[1]) for t in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), got], ["row_id", "cid"])
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            got = pa.array([name(joined(t)[1]) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), got, pa.array(fingerprints_of(texts, SHINGLE))], ["row_id", "cid", "fp"])
 
-    return rows.mapInArrow(run, "row_id long, cid long")
+    return rows.mapInArrow(run, "row_id long, cid long, fp long")
+
+
+def proposed(marked: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes, a > b, that SimHash links; classes of one fingerprint as a star around the smallest."""
+    owners = cut(marked.select("fp", "cid").distinct())
+    leads = owners.groupBy("fp").agg(F.min("cid").alias("lead"))
+    same = owners.join(leads, "fp").filter("cid <> lead").select(F.col("cid").alias("x"), F.col("lead").alias("y"))
+    near = simhash_links(leads.select("fp"))
+    ends = [leads.select(F.col("fp").alias(c), F.col("lead").alias(n)) for c, n in (("a", "x"), ("b", "y"))]
+    return same.unionByName(near.join(ends[0], "a").join(ends[1], "b").select("x", "y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
 
 def shared_shingles(rows: DataFrame) -> DataFrame:
@@ -157,19 +172,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(both.filter(enough(F.size(F.array_intersect("ha", "hb")), F.col("na"), F.col("nb"))).select(F.struct("a", "b").alias("link")))
 
 
-def similar(rows: DataFrame) -> DataFrame:
-    """(node, root) of each class of rows (row_id, body) that has a near copy; root is the smallest class that links reach."""
+def similar(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """(node, root) of each class of rows (row_id, body) that has a near copy; root is the smallest class that links reach. marked: their classes()."""
     ranked = shared_shingles(rows).groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))
     # h is shared by two classes or more wherever near copies share it, so these sets decide similarity
     sets = cut(ranked.filter(5 * F.size("x") >= 4 * F.col("n")).select("cid", "n", F.col("x.h").alias("hs")))
     lone = F.col("n") - F.size("hs")
     reach = F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1 - lone
     index = sets.select("cid", "n", F.size("hs").alias("m"), F.posexplode(F.slice("hs", 1, reach)).alias("pos", "h"))
-    met = index.groupBy("h").agg(F.count(F.lit(1)).alias("met"), F.min_by("cid", F.xxhash64("cid", "h")).alias("leader")).filter("met > 1").select("h", "leader")
+    # the leader has the least of its own: of edited copies of one text, that text
+    own = F.struct((1 - F.col("m") / F.col("n")).alias("own"), F.xxhash64("cid").alias("draw"), "cid")
+    met = index.groupBy("h").agg(F.count(F.lit(1)).alias("met"), F.min(own).alias("leader")).filter("met > 1").select("h", "leader")
     index = cut(index.join(met, "h"))
-    leaders = index.filter("cid <> leader").groupBy("cid").agg(F.slice(F.array_sort(F.collect_set("leader")), 1, LEADERS).alias("x"))
-    first = leaders.select(F.col("cid").alias("x"), F.explode("x").alias("y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    links = verified(first, sets)
+    leaders = index.filter("cid <> leader.cid").groupBy("cid").agg(F.slice(F.array_sort(F.collect_set("leader")), 1, LEADERS).alias("x"))
+    first = leaders.select(F.col("cid").alias("x"), F.explode("x.cid").alias("y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    links = verified(first.unionByName(proposed(marked)).distinct(), sets)
     roots = components(links.select("link.*"))
     placed = index.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     apart = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
@@ -185,5 +202,6 @@ def similar(rows: DataFrame) -> DataFrame:
 
 def copies(rows: DataFrame) -> DataFrame:
     """(row_id, root) of each of rows (row_id, body): rows with one root are copies, or joined by links of near copies."""
-    stars = similar(rows)
-    return classes(rows).join(stars.withColumnRenamed("node", "cid"), "cid", "left").select("row_id", F.coalesce("root", "cid").alias("root"))
+    marked = cut(classes(rows))
+    stars = similar(rows, marked)
+    return marked.join(stars.withColumnRenamed("node", "cid"), "cid", "left").select("row_id", F.coalesce("root", "cid").alias("root"))

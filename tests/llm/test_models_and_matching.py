@@ -114,12 +114,41 @@ def test_leaks_match_brute_force(spark, monkeypatch, bound):
     assert leaks(frame(spark, docs), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def pieces(text):
+    return re.findall(r"[^\n]*\n|[^\n]+", text)
+
+
+def leaf_texts(text):
+    """What the leaves and the opening words of a text hold; their digests stand for these."""
+    leaves = {("leaf", x) for p in pieces(text) for x in re.findall(r"\s*\S+(?:[ \t]+\S+)?\s*|\s+", p)}
+    return leaves | {("word", x) for x in re.split(r"\s+", text.split("\n")[0].strip(" "))[:8] if x}
+
+
+def alike(a, b):
+    x, y = leaf_texts(a), leaf_texts(b)
+    return 1.0 if a == b else 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
+
+
+def first_edited(a, b):
+    """Place of the first paragraph that differs, in the first section that does."""
+    if a == b:
+        return 0
+    at = 0
+    split = lambda t: re.findall(r"(?s).+?(?:\n[ \t\r]*\n\s*|\Z)", t)
+    x, y = split(a), split(b)
+    for k in range(max(len(x), len(y))):
+        p, q = pieces(x[k] if k < len(x) else ""), pieces(y[k] if k < len(y) else "")
+        if p != q:
+            return at + next(i for i in range(max(len(p), len(q))) if p[i : i + 1] != q[i : i + 1]) + 1
+        at += len(p)
+
+
 def test_fingerprints(spark, monkeypatch):
     import tabloom.llm.fingerprints as module
 
     monkeypatch.setattr(module, "BUCKET_BYTES", 500)
     rnd = random.Random(5)
-    rows = [(i * 3, prose(rnd, ["ba", "é", "ko"], rnd.choice([1, 8, 80])) + "\n" * (i % 3) + "x", None) for i in range(60)] + [(7, None, None), (8, "", None), (200, "same\n\nsame", None), (201, "same\n\nsame", None)]
+    rows = [(i * 3, prose(rnd, ["ba", "é", "ko"], rnd.choice([1, 8, 80])) + "\n" * (i % 3) + "x", None) for i in range(60)] + [(7, None, None), (8, "", None), (10, "a\n\nb\nc\n\n\nd e f g h\n", None), (11, "a\n\nb\nx y z\n\nq\n\nrrr s\n", None), (200, "same\n\nsame", None), (201, "same\n\nsame", None)]
     ordered = sorted((i, t or "") for i, t, _ in rows)
     got = {r.doc_id: r for r in fingerprint(frame(spark, rows)).collect()}
     assert len(got) == len(rows)
@@ -134,7 +163,8 @@ def test_fingerprints(spark, monkeypatch):
         for text, p in ((t, r.fingerprint), (edited, r.edited_fingerprint)):
             assert prints.setdefault(text, p) == p
         assert (r.fingerprint == r.edited_fingerprint) == (t == edited)
-        assert (r.first_edited_paragraph == 0) == (t == edited)
+        assert r.first_edited_paragraph == first_edited(t, edited)
+        assert round(r.near_edited, 9) == round(alike(t, edited), 9) and round(r.near_next, 9) == round(alike(t, nxt), 9)
     assert len(set(prints.values())) == len(prints)
     assert got[200].near_next == 1.0
     single = fingerprint(frame(spark, [(1, "abcd", None)])).first()
@@ -151,24 +181,41 @@ def test_licenses(spark):
     assert scan(frame(spark, [])).count() == 0
 
 
-def test_lines_match_brute_force(spark):
+@pytest.mark.parametrize("salts", [64, 3])
+def test_lines_match_brute_force(spark, monkeypatch, salts):
+    import tabloom.llm.lines as module
+
+    monkeypatch.setattr(module, "SALTS", salts)
     rnd = random.Random(6)
     lines = [prose(rnd, ["ba", "É", "ko"], 15) for _ in range(12)] + ["short", "", "  "]
     rows = [(i, "\n".join(rnd.choice(lines).upper() if rnd.random() < 0.3 else rnd.choice(lines) for _ in range(rnd.randint(0, 6))), None) for i in range(30)] + [(90, None, None), (91, "", None)]
-    first, want = {}, set()
-    for i, t, _ in rows:
-        at = 0
-        for k, line in enumerate((t or "").split("\n")):
-            plain = re.sub(r"\s+", " ", line.lower()).strip()
-            if len(plain) >= 40:
-                if plain in first:
-                    want.add((i, k, at, at + len(line), *first[plain]))
-                first.setdefault(plain, (i, k))
-            at += len(line) + 1
-    got = {(r.doc_id, r.unit, r.start, r.end, r.kept_doc_id, r.kept_unit) for r in repeated_units(frame(spark, rows)).collect()}
-    assert got == want and want
+    # a line in every row, many times over all others; a null id; a long text
+    rows += [(200 + i, "the common line\n" * 9, None) for i in range(40)] + [(None, "only here\nshort", None), (300, "\n".join(f"line {k}" for k in range(20_000)), None)]
+
+    def brute(gap, least):
+        units = []
+        for i, t, _ in rows:
+            at = 0
+            for k, line in enumerate((t or "").split(gap)):
+                plain = re.sub(r"\s+", " ", line.lower()).strip()
+                if len(plain) >= least:
+                    units.append((plain, i, k, at, at + len(line)))
+                at += len(line) + len(gap)
+        groups = {}
+        for u in units:
+            groups.setdefault(u[0], []).append(u[1:])
+        first = {p: min(x, key=lambda o: (o[0] is None, o[0] or 0, o[1])) for p, x in groups.items() if len(x) > 1}
+        return {(*o, *first[p][:2], o[:2] != first[p][:2]) for p in first for o in groups[p]}
+
+    for unit, gap, least in (("line", "\n", 1), ("line", "\n", 40), ("paragraph", "\n\n", 1)):
+        got = [tuple(r[c] for c in ("doc_id", "unit", "start", "end", "kept_doc_id", "kept_unit", "removed")) for r in repeated_units(frame(spark, rows), unit=unit, least_chars=least).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(gap, least) and got
     assert repeated_units(frame(spark, [])).count() == 0
-    assert repeated_units(frame(spark, rows), unit="paragraph").count() >= 0
+
+
+def test_lines_of_repeated_ids(spark):
+    got = [tuple(r[c] for c in ("doc_id", "unit", "kept_doc_id", "removed")) for r in repeated_units(frame(spark, [(1, "a b", None), (1, "A  B", None), (2, "a b", None)])).collect()]
+    assert sorted(got) == [(1, 0, 1, False), (1, 0, 1, False), (2, 0, 1, True)]
 
 
 def test_chat_rotation(spark):

@@ -8,6 +8,7 @@ import pytest
 import xxhash
 
 from tabloom.llm.packing import encoder, first_fit_decreasing, pack
+from tabloom.llm.common import components
 from tabloom.llm.simhash import bucket_links, near_duplicates
 from tabloom.llm.suffixes import remove_repeats
 
@@ -53,6 +54,9 @@ def test_fast_encoder_gives_the_same_ids():
 
     full = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     texts = ["Hello  world\n\n x", "", "é ñ 漢字 🙂", "a<|endoftext|>b", "don't  stop\t1234", " " * 50 + "z" * 500]
+    rnd = random.Random(12)
+    kinds = ["abc de", " \t\n\r", "0123,.", "'sdtllvemre", "éßñ\u00a0\u2028", "漢字かな", "🙂👩‍👩‍👧", "<|endoftext|>", "\u0301\u200d\ufeff"]
+    texts += ["".join(rnd.choice(rnd.choice(kinds)) for _ in range(rnd.randint(0, 60))) for _ in range(3000)]
     assert encoder("byte_bpe_50k.json")(texts) == [e.ids for e in full.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -129,6 +133,23 @@ def test_simhash_matches_brute_force(spark, monkeypatch, share):
     assert near_duplicates(frame(spark, [(1, "a"), (1, "a"), (2, None)])).count() == 3
 
 
+@pytest.mark.parametrize("share", [64, 4])
+def test_no_task_gets_a_hot_value_whole(spark, monkeypatch, share):
+    import tabloom.llm.simhash as simhash
+
+    # 4,096 fingerprints that differ in 12 bits alone, so some index value is shared by very many
+    rng = np.random.default_rng(1)
+    spots = rng.choice(64, 12, replace=False)
+    fps = [sum(((k >> i) & 1) << int(s) for i, s in enumerate(spots)) for k in range(4096)]
+    fps = [x - (1 << 64) if x >> 63 else x for x in fps]
+    classes = spark.createDataFrame([(x,) for x in fps], "fp long")
+    whole = max(r["count"] for r in simhash.dealt(classes)[0].groupBy("key").count().collect())
+    monkeypatch.setattr(simhash, "SHARE", share)
+    parts = [r["count"] for r in simhash.dealt(classes)[0].groupBy("key").count().collect()]
+    assert max(parts) <= whole / 2
+    assert components(simhash.links(classes)).count() == 4095  # the cube is one component
+
+
 def test_bucket_links_span_all_links():
     rng = np.random.default_rng(0)
     centre = rng.integers(0, 2**63, 6, dtype=np.int64)
