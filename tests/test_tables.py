@@ -126,7 +126,7 @@ def test_recipe_and_instructions(spark):
     # how dates are to be written says nothing of how they are to be read
     assert (o.date_style, o.date_order) == ("us", "auto") and "normalize-email" in o.disabled and rest == ["frobnicate"]
     assert instruction("Treat dates as month first")[0].date_order == "MDY"
-    o, matched, _ = instruction("Clean it up but keep duplicates and blank rows, and don't change the casing")
+    o, matched, _ = instruction("Clean it up but keep duplicates, keep blank rows and don't change the casing")
     assert o.disabled == {"remove-duplicate-rows", "remove-blank-rows", "consistent-casing"} and len(matched) >= 2
     o = instruction("only fix whitespace")[0]
     assert "remove-duplicate-rows" in o.disabled and "trim-whitespace" not in o.disabled
