@@ -29,6 +29,8 @@ from tabloom.llm.common import cut, width
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 20, 21
 BROADCAST_ROWS = 50_000
+#: First bits of the blocks, and the end.
+EDGES = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
 
 
 def words(text: Column) -> Column:
@@ -108,8 +110,7 @@ def among(known: list[int]):
 
 def block_keys(h: Column) -> Column:
     """One key for each block of bits."""
-    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    keys = [F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) + F.lit(i << 8) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+    keys = [F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) + F.lit(i << 8) for i, (a, b) in enumerate(zip(EDGES, EDGES[1:]))]
     return F.array(*keys)
 
 
@@ -199,12 +200,15 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
         windows = windows.unionByName(spots.select("doc_id", F.col("pos").alias("start_word"), F.lit(n).alias("n"), F.slice("w", F.col("pos") + 1, n).alias("win"), F.lit(None).cast("long").alias("aligned")))
     windows = windows.groupBy("doc_id", "start_word", "n", "win").agg(F.collect_set("aligned").alias("aligned"))
     # dealt out anew, as the windows lie in few partitions and verifying them is the work
-    marked = cut(windows.withColumn("h", simhash(F.col("win")))).repartition(max(width(docs), 64)).withColumn("keys", block_keys(F.col("h")))
-    index = bench.select("item_id", "iw", "ih", F.col("n").alias("n_item"), block_keys(F.col("ih")).alias("ikeys")).withColumn("key", F.explode("ikeys"))
-    near = F.bit_count(F.col("h").bitwiseXOR(F.col("ih"))) <= RADIUS
+    marked = cut(windows.withColumn("h", simhash(F.col("win")))).repartition(max(width(docs), 64)).withColumn("wkey", F.explode(block_keys(F.col("h"))))
+    index = bench.select("item_id", "iw", "ih", F.col("n").alias("n_item"), F.explode(block_keys(F.col("ih"))).alias("key"))
+    differ = F.col("h").bitwiseXOR(F.col("ih"))
     # a pair that agrees on several blocks is verified at the first of them alone
-    once = F.get(F.array_intersect("ikeys", "keys"), F.lit(0)) == F.col("key")
-    met = marked.withColumn("wkey", F.explode("keys")).join(F.broadcast(index) if few else index, (F.col("wkey") == F.col("key")) & (F.col("n") == F.col("n_item")) & near & once)
+    before = F.lit(False)
+    for i, (lo, hi) in enumerate(zip(EDGES, EDGES[1:-1])):
+        mask = ((1 << (hi - lo)) - 1) << lo
+        before = before | ((F.col("wkey") >= F.lit((i + 1) << 8)) & (differ.bitwiseAND(F.lit(mask)) == 0))
+    met = marked.join(F.broadcast(index) if few else index, (F.col("wkey") == F.col("key")) & (F.col("n") == F.col("n_item")) & (F.bit_count(differ) <= RADIUS) & ~before)
     scored = met.select("doc_id", "item_id", "start_word", F.array_contains("aligned", F.xxhash64("iw")).alias("aligned"), similarity(F.col("win"), F.col("iw")).alias("similarity"))
     best = F.max(F.struct("aligned", "similarity", (-F.col("start_word")).alias("s"))).alias("best")
     return scored.filter(F.col("similarity") >= least).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.s")).alias("start_word"))
