@@ -210,5 +210,6 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
         before = before | ((F.col("wkey") >= F.lit((i + 1) << 8)) & (differ.bitwiseAND(F.lit(mask)) == 0))
     met = marked.join(F.broadcast(index) if few else index, (F.col("wkey") == F.col("key")) & (F.col("n") == F.col("n_item")) & (F.bit_count(differ) <= RADIUS) & ~before)
     scored = met.select("doc_id", "item_id", "start_word", F.array_contains("aligned", F.xxhash64("iw")).alias("aligned"), similarity(F.col("win"), F.col("iw")).alias("similarity"))
-    best = F.max(F.struct("aligned", "similarity", (-F.col("start_word")).alias("s"))).alias("best")
-    return scored.filter(F.col("similarity") >= least).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.s")).alias("start_word"))
+    # the threshold stands inside the aggregate: as a filter it would be pushed below, and the similarity worked out twice
+    best = F.max(F.when(F.col("similarity") >= least, F.struct("aligned", "similarity", (-F.col("start_word")).alias("s")))).alias("best")
+    return scored.groupBy("doc_id", "item_id").agg(best).filter("best is not null").select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.s")).alias("start_word"))
