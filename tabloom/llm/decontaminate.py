@@ -135,7 +135,11 @@ def similarity(wa: Column, wb: Column) -> Column:
         return F.aggregate(x, F.lit(0), lambda t, s: t + weight(s))
 
     def jaccard(a: Column, b: Column) -> Column:
-        low = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda t, s: t + weight(s) * F.least(count(a, s), count(b, s)))
+        # where either side has no shingle twice, each shared one counts once
+        once = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+        plain = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda t, s: t + weight(s))
+        counted = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda t, s: t + weight(s) * F.least(count(a, s), count(b, s)))
+        low = F.when(once, plain).otherwise(counted)
         return let(low, lambda x: x / F.greatest(total(a) + total(b) - x, F.lit(1)))
 
     return let(shingles(wa), lambda a: let(shingles(wb), lambda b: jaccard(a, b)))
