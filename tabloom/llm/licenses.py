@@ -46,7 +46,7 @@ STARTS = r"permission\s+(is|to)\b|redistribution\s+and\s+use|this\s+(software|pr
 #: A notice: copyright with a mark, a year or a placeholder anywhere; with a plain name at the start of a line or sentence or after a title.
 #: It ends with its line or sentence, or where the licence starts.
 NOTICE = (
-    r"(?:copyright\s+(?=\(c\)|©|<|\[|[0-9])|©|(?:(?<=^|\n|\n[ \t]{1,20}|[.;]\s{1,4}|license\s{1,4}))copyright[ \t]+(?=[\p{L}])"
+    r"(?:copyright\s+(?=\(c\)|©|<|\[|[0-9])|©|(?=copyright)(?:(?<=^|\n|\n[ \t]{1,20}|[.;]\s{1,4}|license\s{1,4}))copyright[ \t]+(?=[\p{L}])"
     r"(?!(?:notices?|holders?|owners?|laws?|licenses?|statements?|interests?|disclaimers?|permissions?|treaty|and|or|in|to|of|by|as|is|for|on|on-line|the\s+(?:software|library|program))\b))"
     r"(?:(?!\s(?:" + STARTS + r"))(?!(?<!\b(?:inc|ltd|co|corp|llc|\p{L}))\.(?:\s|$))[^\n])*\.?"
 )
